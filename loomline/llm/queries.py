@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import pii
+from loomline.llm import conversations, pii
 from loomline.runtime import read
 
 QUERIES: dict = {}
@@ -33,3 +33,44 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts that held personal information, with typed placeholders."""
     return pii.redacted(read(spark, sf_dir, "session_entries"), read(spark, sf_dir, "name_parts"))
+
+
+TALK_SQL = r"""
+WITH RECURSIVE e AS (
+  SELECT source_id, entry_id, coalesce(any_value(parent_id), '') AS parent_id, any_value(line_index) AS line_index, any_value(entry_type) AS entry_type, any_value(message) AS message
+  FROM session_entries GROUP BY source_id, entry_id),
+r AS (SELECT *, CASE WHEN json_valid(message) AND json_type(message) = 'OBJECT' THEN lower(trim(coalesce(message->>'$.role', ''))) END AS role,
+             CASE WHEN json_valid(message) THEN json_type(message, '$.content') END AS shape FROM e),
+k AS (SELECT *, CASE WHEN entry_type <> 'message' THEN 0
+    WHEN role IS NULL OR role NOT IN ('user','human','assistant','ai','bot','model','toolresult','tool_result','tool','bashexecution','branchsummary','compactionsummary','custom','system') THEN 9
+    WHEN role NOT IN ('user','human','assistant','ai','bot','model') THEN 3
+    WHEN CASE shape WHEN 'VARCHAR' THEN NOT regexp_full_match(message->>'$.content', '[\s\pZ]*')
+              WHEN 'ARRAY' THEN len(list_filter(json_extract(message, '$.content[*]'), lambda b: (b->>'$.type') = 'text' AND NOT regexp_full_match(coalesce(b->>'$.text', ''), '[\s\pZ]*'))) > 0
+              ELSE false END
+    THEN CASE WHEN role IN ('user','human') THEN 1 ELSE 2 END ELSE 3 END AS kind FROM r),
+walk AS (
+  SELECT source_id, entry_id, entry_id AS root_id, line_index, 0 AS depth FROM k WHERE parent_id = ''
+  UNION ALL SELECT k.source_id, k.entry_id, w.root_id, k.line_index, w.depth + 1 FROM walk w JOIN k ON k.source_id = w.source_id AND k.parent_id = w.entry_id),
+tip AS (SELECT source_id, root_id, max_by(entry_id, line_index) AS entry_id FROM walk GROUP BY ALL),
+path AS (
+  SELECT source_id, root_id, entry_id FROM tip
+  UNION ALL SELECT p.source_id, p.root_id, k.parent_id FROM path p JOIN k USING (source_id, entry_id) WHERE k.parent_id <> ''),
+full_path AS (SELECT p.source_id, p.root_id, entry_id, k.kind, w.depth FROM path p JOIN k USING (source_id, entry_id) JOIN walk w USING (source_id, entry_id)),
+turns AS (SELECT source_id, root_id, entry_id, kind, row_number() OVER w AS turn_no, lead(kind) OVER w AS next_kind
+  FROM full_path WHERE kind IN (1, 2) WINDOW w AS (PARTITION BY source_id, root_id ORDER BY depth)),
+bad AS (SELECT source_id, root_id FROM full_path WHERE kind = 9
+  UNION SELECT source_id, root_id FROM turns WHERE (turn_no = 1 AND kind = 2) OR (kind = 1 AND coalesce(next_kind, 0) <> 2)),
+kept AS (SELECT source_id, root_id, turn_no, entry_id, kind FROM turns ANTI JOIN bad USING (source_id, root_id))
+"""
+
+
+@query(TALK_SQL + "SELECT source_id, root_id, turn_no, entry_id FROM kept")
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbered turns of every kept conversation."""
+    return conversations.kept(read(spark, sf_dir, "session_entries"))
+
+
+@query()
+def p5_likely_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest reply link of each entry whose parent line was lost."""
+    return conversations.likely_parents(read(spark, sf_dir, "session_entries"))
