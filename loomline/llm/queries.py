@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import conversations, pii
+from loomline.llm import conversations, leakage, pii
 from loomline.runtime import read
 
 QUERIES: dict = {}
@@ -74,3 +74,27 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_likely_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likeliest reply link of each entry whose parent line was lost."""
     return conversations.likely_parents(read(spark, sf_dir, "session_entries"))
+
+
+LEAK_SQL = r"""
+WITH t AS (
+  SELECT DISTINCT doc_id, v.w FROM (
+    SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents
+    UNION ALL SELECT doc_id, regexp_extract_all(lower(regexp_replace(text, '<[^<>\n]{1,200}>|&[a-zA-Z]{2,8};|&#\d{1,6};', ' ', 'g')), '[\p{L}\p{N}]+') FROM documents) v),
+d AS (SELECT doc_id, array_to_string(w[k : k + 14], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, len(w) - 13)) AS k FROM t)),
+i AS (SELECT item_id, array_to_string(w[k : k + 14], ' ') AS run FROM (
+  SELECT item_id, w, unnest(range(1, len(w) - 13)) AS k FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items))),
+hits AS (SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (run))
+"""
+
+
+@query(LEAK_SQL + "SELECT doc_id, item_id FROM hits")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold 15 consecutive words of a test item."""
+    return leakage.leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+
+
+@query(LEAK_SQL + "SELECT item_id, task, coalesce(n, 0) AS leaking_docs FROM eval_items LEFT JOIN (SELECT item_id, count(*) AS n FROM hits GROUP BY ALL) USING (item_id)")
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every test item with the number of documents that leak it."""
+    return leakage.leak_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
