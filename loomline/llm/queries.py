@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import conversations, leakage, pii
+from loomline.llm import conversations, leakage, mixing, pii, reading
 from loomline.runtime import read
 
 QUERIES: dict = {}
@@ -98,3 +98,27 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test item with the number of documents that leak it."""
     return leakage.leak_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+
+
+@query()
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of every mixing plan with their copies."""
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))
+
+
+@query()
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached token shares of every plan."""
+    return mixing.shares(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))
+
+
+@query()
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The English documents of level 4 or 5."""
+    return reading.demanding(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_grades"))
+
+
+@query()
+def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents by source and reading level."""
+    return reading.profile(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_grades"))
