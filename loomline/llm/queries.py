@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomline.llm import conversations, leakage, mixing, pii, reading
+from loomline.llm import conversations, leakage, mixing, near_duplicates, pii, reading
 from loomline.runtime import read
 
 QUERIES: dict = {}
@@ -122,3 +122,9 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English documents by source and reading level."""
     return reading.profile(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_grades"))
+
+
+@query()
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of segments of which one is a slightly edited copy of the other."""
+    return near_duplicates.pairs(read(spark, sf_dir, "visible_segments"))

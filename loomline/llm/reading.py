@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.runtime import Spool
@@ -86,18 +86,18 @@ def word_counts(documents: DataFrame) -> DataFrame:
 def familiar_words(documents: DataFrame, least_share: float = LEAST_SHARE, least_easy: float = LEAST_EASY) -> DataFrame:
     """The familiar words (``word``), from document frequencies over all English documents."""
     counts = Spool(word_counts(documents), "words").df
-    lengths = counts.filter("word is null").withColumn("upto", F.sum("docs").over(Window.orderBy("length")))  # at most MOST_SENTENCE rows
-    totals = lengths.agg(F.sum("docs").alias("n"), F.max("upto").alias("m"))
-    half = lengths.crossJoin(totals).filter("upto * 2 >= n").agg(F.min("length").alias("median"))
-    bounds = lengths.crossJoin(half).agg(F.sum(F.when(F.col("length") <= F.col("median"), F.col("docs")).otherwise(0)).alias("easy"), F.sum("docs").alias("n"), F.max("median").alias("median")).first()
-    if not bounds["n"]:
+    lengths = sorted((r["length"], r["docs"]) for r in counts.filter("word is null").collect())  # at most MOST_SENTENCE + 1 rows
+    n = sum(docs for _, docs in lengths)
+    if not n:
         return counts.select("word").filter("false")
-    easy, hard = max(1, bounds["easy"]), max(1, bounds["n"] - bounds["easy"])
+    median = next(length for k, (length, _) in enumerate(lengths) if 2 * sum(docs for _, docs in lengths[: k + 1]) >= n)
+    easy = sum(docs for length, docs in lengths if length <= median)
+    hard = max(1, n - easy)
     by_word = counts.filter("word is not null").groupBy("word").agg(
-        F.sum(F.when(F.col("length") <= bounds["median"], F.col("docs")).otherwise(0)).alias("low"), F.sum("docs").alias("docs")
+        F.sum(F.when(F.col("length") <= median, F.col("docs")).otherwise(0)).alias("low"), F.sum("docs").alias("docs")
     )
     low = F.col("low") / easy
-    return by_word.filter((F.col("docs") >= least_share * bounds["n"]) & (low >= least_easy * (low + (F.col("docs") - F.col("low")) / hard))).select("word")
+    return by_word.filter((F.col("docs") >= least_share * n) & (low >= least_easy * (low + (F.col("docs") - F.col("low")) / hard))).select("word")
 
 
 def features(documents: DataFrame, familiar: DataFrame) -> DataFrame:
