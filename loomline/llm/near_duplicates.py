@@ -16,7 +16,8 @@ true cluster and is compared block by block.  ``TREES`` independent trees bring
 recall to the target.
 
 Words found in more than ``COMMON`` of all texts tell nothing apart and are not
-followed; they do count in the comparison.
+followed, nor are repetitions of a word, which come along with its first; all do
+count in the comparison.
 """
 
 from __future__ import annotations
@@ -36,17 +37,17 @@ from loomline.runtime import Spool
 SIMILARITY = Fraction(4, 5)
 #: Texts of fewer characters are not compared.
 LEAST_CHARS = 80
-#: Words (numbered by repetition) in more than this part of the texts are not followed.
-COMMON = 0.05
+#: Words in more than this part of the texts are not followed.
+COMMON = 0.2
 #: A text follows about 1/RATE tokens at each step.
-RATE = 0.62
-TREES = 16
+RATE = 0.72
+TREES = 9
 #: Steps taken before nodes are first looked at, and the most steps of all.
-FIRST_LEVEL, MOST_LEVELS = 3, 12
+FIRST_LEVEL, MOST_LEVELS = 4, 12
 #: The most texts of a node that are compared exhaustively.
 NODE = 64
 #: One-bit minwise values in a sketch (two 64-bit words), and the least that must agree to compare word by word.
-SKETCH_BITS, LEAST_AGREEMENT = 128, 88
+SKETCH_BITS, LEAST_AGREEMENT = 128, 95
 #: Groups of exact copies up to this size are written out as all pairs, larger ones as pairs with their first copy.
 MOST_COPIES = 64
 
@@ -60,14 +61,15 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def numbered(found: list[str], hashes: WordHashes) -> np.ndarray:
-    """The tokens of a text: the hash of each word with the number of its repetition, sorted."""
+def numbered(found: list[str], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of a text, hashes of each word with the number of its repetition, sorted; those of first occurrences."""
     if not found:
-        return np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64)
     codes = np.sort(hashes.of(found).view(np.uint64))
     starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
     nth = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
-    return np.sort(scramble(codes + nth.astype(np.uint64) * MIX))
+    tokens = scramble(codes + nth.astype(np.uint64) * MIX)
+    return np.sort(tokens), tokens[starts]
 
 
 def sketch(tokens: np.ndarray) -> tuple[int, int]:
@@ -101,7 +103,7 @@ def classes(segments: DataFrame, least_chars: int) -> tuple[DataFrame, DataFrame
         for b in batches:
             keys = []
             for t in b["text"]:
-                tokens = numbered(words(t), hashes)
+                tokens, _ = numbered(words(t), hashes)
                 keys.append(tokens.tobytes() if len(tokens) else None)
             out = b.assign(bag=keys)
             yield out[out["bag"].notna()]
@@ -117,25 +119,25 @@ def classes(segments: DataFrame, least_chars: int) -> tuple[DataFrame, DataFrame
 
 
 def tokenised(reps: DataFrame) -> DataFrame:
-    """``rep`` and its tokens as bytes, with the sketch."""
+    """``rep``, its tokens and those of first occurrences as bytes, and the sketch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
             bags = [numbered(words(t), hashes) for t in b["text"]]
-            marks = [sketch(t) for t in bags]
-            yield pd.DataFrame({"rep": b["rep"], "tokens": [t.tobytes() for t in bags], "s0": [m[0] for m in marks], "s1": [m[1] for m in marks]})
+            marks = [sketch(t) for t, _ in bags]
+            yield pd.DataFrame({"rep": b["rep"], "tokens": [t.tobytes() for t, _ in bags], "firsts": [f.tobytes() for _, f in bags], "s0": [m[0] for m in marks], "s1": [m[1] for m in marks]})
 
-    return reps.mapInPandas(run, "rep long, tokens binary, s0 long, s1 long")
+    return reps.mapInPandas(run, "rep long, tokens binary, firsts binary, s0 long, s1 long")
 
 
 def common_tokens(tokens: DataFrame, share: float) -> np.ndarray:
-    """The tokens in more than ``share`` of the texts: at most (mean tokens of a text) / share of them."""
+    """The words in more than ``share`` of the texts: at most (mean words of a text) / share of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts: Counter = Counter()
         for b in batches:
-            for t in b["tokens"]:
+            for t in b["firsts"]:
                 counts.update(np.frombuffer(t, dtype=np.int64).tolist())
             if len(counts) > 1_000_000:
                 yield frame(counts)
@@ -146,7 +148,7 @@ def common_tokens(tokens: DataFrame, share: float) -> np.ndarray:
         return pd.DataFrame({"token": np.fromiter(counts.keys(), dtype=np.int64, count=len(counts)), "n": np.fromiter(counts.values(), dtype=np.int64, count=len(counts))})
 
     many = tokens.count()
-    rows = tokens.select("tokens").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > share * many).select("token").collect()
+    rows = tokens.select("firsts").mapInPandas(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > share * many).select("token").collect()
     return np.sort(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))
 
 
@@ -223,7 +225,7 @@ def likely_pairs(tokens: DataFrame, common: np.ndarray, trees: int, rate: float,
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for k, t in enumerate(b["tokens"]):
+            for t in b["firsts"]:
                 mine, nodes = rare(np.frombuffer(t, dtype=np.uint64), shared.value), roots(trees)
                 for _ in range(first):
                     nodes = follow(nodes, mine, rate)
@@ -232,7 +234,7 @@ def likely_pairs(tokens: DataFrame, common: np.ndarray, trees: int, rate: float,
 
     def deeper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [follow(np.array([n], dtype=np.int64).view(np.uint64), rare(np.frombuffer(t, dtype=np.uint64), shared.value), rate) for n, t in zip(b["node"], b["tokens"], strict=True)]
+            rows = [follow(np.array([n], dtype=np.int64).view(np.uint64), rare(np.frombuffer(t, dtype=np.uint64), shared.value), rate) for n, t in zip(b["node"], b["firsts"], strict=True)]
             yield spread(b, rows)
 
     def spread(b: pd.DataFrame, rows: list[np.ndarray]) -> pd.DataFrame:
@@ -241,6 +243,7 @@ def likely_pairs(tokens: DataFrame, common: np.ndarray, trees: int, rate: float,
         return pd.DataFrame({"node": node} | {c: np.repeat(b[c].to_numpy(), times) for c in ("rep", "s0", "s1")})
 
     schema = "node long, rep long, s0 long, s1 long"
+    tokens = tokens.select("rep", "firsts", "s0", "s1")
     at = tokens.mapInPandas(start, schema)
     found, level = [], first
     while True:
