@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.operators.hierarchy import hierarchy
+from loomline.operators import schema_drift
 from loomline.runtime import read
 
 QUERIES: dict = {}
@@ -63,3 +64,27 @@ def p4_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The loops of each source and the entries on or below each."""
     tree = hierarchy(read(spark, sf_dir, "timeline_records"), with_path=False)
     return tree.filter("node_depth = -1").groupBy("source_id", F.col("root_id").alias("loop_id")).agg(F.count("*").alias("entries"))
+
+
+@query()
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every change of fields between a file and the file before it."""
+    return schema_drift.drift(read(spark, sf_dir, "raw_records"))
+
+
+@query()
+def p2_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union schema of each record kind."""
+    return schema_drift.fields(read(spark, sf_dir, "raw_records"))
+
+
+@query()
+def p2_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All session headers as one table."""
+    return schema_drift.unified(read(spark, sf_dir, "raw_records"), "header")
+
+
+@query()
+def p2_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cleanup manifests as one table."""
+    return schema_drift.unified(read(spark, sf_dir, "raw_records"), "manifest")
