@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from loomline.runtime import Spool
 
 #: Values and shapes kept per field and file: those of least hash, so that merging never depends on order.
-KEPT = 64
+KEPT = 16
 #: Fields without a common content that still pass as one under two names need a score of this.
 SAME_CONTENT = 0.75
 NAME_WEIGHT = 0.4
