@@ -70,6 +70,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.kept(read(spark, sf_dir, "session_entries"))
 
 
+@query()
+def p5_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations kept when lost parents are replaced by likely ones of a score of 0.3 or more."""
+    return conversations.kept(read(spark, sf_dir, "session_entries"), least=0.3)
+
+
 @query()
 def p5_likely_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likeliest reply link of each entry whose parent line was lost."""

@@ -109,6 +109,13 @@ def test_conversations_both_ways(spark, seed):
     assert one == two and one
 
 
+def test_inferred_links_join_conversations(spark):
+    rows = [say("a", "1", None, 1, "user", "see foo_bar.ts"), say("a", "2", "1", 2, "assistant", "done"), say("a", "4", "3", 4, "user", "more"), say("a", "5", "4", 5, "assistant", "done")]
+    df = spark.createDataFrame(rows, TALK)
+    assert conversations.kept(df).count() == 2
+    assert [r.entry_id for r in conversations.kept(df, least=0.3).orderBy("turn_no").collect()] == ["1", "2", "4", "5"]
+
+
 def test_likely_parents(spark):
     got = {r.entry_id: (r.likely_parent_id, r.score) for r in conversations.likely_parents(spark.createDataFrame(talk_rows(), TALK)).collect()}
     assert got == {"c1": ("b3", conversations.link_score(8000, 0, 0.0))}
