@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.text import B0, B1, WS, compact_lower, trim_ws
+from loomline.functions.text import B0, B1, WS, trim_ws
 
 BLOCKS = "array<struct<type:string,text:string,name:string>>"
 
@@ -103,22 +103,19 @@ def matches(x: Column, pattern: str) -> Column:
     return x.rlike(spelled(pattern))
 
 
-def process_only(x: Column) -> Column:
-    """Assistant text that acknowledges or narrates without any outcome."""
-    c = compact_lower(x)
+def process_only(c: Column) -> Column:
+    """Assistant text (compact, as all texts judged here: see ``compact_lower``) that acknowledges or narrates without any outcome."""
     short = (F.length(c) <= 24) & matches(c, ACKNOWLEDGED)
     return (c == "") | short | (~matches(c, OUTCOME) & (F.length(c) <= 160) & matches(c, NARRATION))
 
 
-def low_value(x: Column) -> Column:
+def low_value(c: Column) -> Column:
     """User text without a request of its own."""
-    c = compact_lower(x)
     return (c == "") | ((F.length(c) <= 24) & matches(c, IDLE_REQUEST)) | matches(c, IMPATIENT)
 
 
-def continuation(x: Column) -> Column:
+def continuation(c: Column) -> Column:
     """User text that goes on with the request before."""
-    c = compact_lower(x)
     return (c != "") & (low_value(c) | matches(c, CONTINUES))
 
 
@@ -129,15 +126,13 @@ def _points(c: Column, table) -> Column:
     return total
 
 
-def milestone_score(x: Column) -> Column:
+def milestone_score(c: Column) -> Column:
     """How much an assistant text says about the state of the work."""
-    c = compact_lower(x)
     return F.when(process_only(c), -1000).otherwise(_points(c, MILESTONES) + F.when(F.length(c) >= 90, 10).otherwise(0))
 
 
-def evidence_signal(x: Column, is_error: Column) -> Column:
+def evidence_signal(c: Column, is_error: Column) -> Column:
     """How much a tool result says about the state of the work."""
-    c = compact_lower(x)
     return F.when(c == "", 0).otherwise(F.when(is_error, 100).otherwise(0) + _points(c, EVIDENCE) + F.when(F.length(c) >= 120, 10).otherwise(0))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,7 +28,7 @@ def unpacked(data: pd.Series) -> pd.Series:
     def one(x):
         try:
             return None if x is None else gzip.decompress(bytes(x))
-        except (OSError, EOFError, ValueError):
+        except (OSError, EOFError, ValueError, zlib.error):
             return None
 
     return data.map(one)
@@ -52,12 +53,12 @@ def restored(chunks: DataFrame, key: str) -> DataFrame:
     The chunks of one source meet in one row, as its text did before.
     """
     whole = chunks.groupBy(key).agg(
-        F.array_sort(F.collect_list(F.struct("chunk_index", "data"))).alias("c"), F.max("chunk_count").alias("n"), F.count_distinct("chunk_index").alias("d"), F.count("*").alias("k"),
+        F.array_sort(F.collect_list(F.struct("chunk_index", "data"))).alias("c"), F.max("chunk_count").alias("n"), F.count_distinct("chunk_index").alias("d"), F.count("*").alias("rows"),
         F.max("raw_sha256").alias("raw_sha256"), F.max("raw_bytes").alias("raw_bytes"), F.max("packed_sha256").alias("packed_sha256"), F.max("packed_bytes").alias("packed_bytes"),
     )
     data = whole.withColumn("_packed", F.try_to_binary(F.array_join(F.transform("c", lambda x: x["data"]), ""), F.lit("base64"))).withColumn("_raw", unpacked("_packed"))
     fits = (
-        (F.col("n") == F.col("d")) & (F.col("n") == F.col("k")) & (F.sha2("_packed", 256) == F.col("packed_sha256")) & (F.octet_length("_packed") == F.col("packed_bytes"))
+        (F.col("n") == F.col("d")) & (F.col("n") == F.col("rows")) & (F.sha2("_packed", 256) == F.col("packed_sha256")) & (F.octet_length("_packed") == F.col("packed_bytes"))
         & (F.sha2("_raw", 256) == F.col("raw_sha256")) & (F.octet_length("_raw") == F.col("raw_bytes"))
     )
     return data.select(key, F.decode("_raw", "UTF-8").alias("text"), F.coalesce(fits, F.lit(False)).alias("intact"))

@@ -25,13 +25,14 @@ RECORDS = "source_id string, turn_index long, mode string, assistant_ids array<s
 def judged(entries: DataFrame) -> DataFrame:
     """The user, assistant and tool messages of all sources with the flags that selection needs; cut-off assistant messages left out."""
     m = M.with_message(M.distinct_entries(entries)).filter(F.col("role").isin("user", "assistant", "toolResult") & ~M.is_degenerate())
-    text = F.col("text")
+    m = m.withColumn("c", compact_lower(F.col("text")))
+    c, err = F.col("c"), F.col("is_error")
+    by_user, by_tool = F.col("role") == "user", F.col("role") == "toolResult"
     return m.select(
-        "source_id", F.col("line_index").cast("long").alias("line"), "entry_id", "role", (text != "").alias("has_text"), M.has_tool_call().alias("calls"),
-        F.xxhash64(compact_lower(text)).alias("said"), F.when(F.col("role") == "user", M.low_value(text)).alias("low"), F.when(F.col("role") == "user", M.continuation(text)).alias("goes_on"),
-        F.when(F.col("role") == "assistant", M.process_only(text)).alias("process"), F.when(F.col("role") == "assistant", M.milestone_score(text)).alias("milestone"),
-        F.when(F.col("role") == "toolResult", M.evidence_signal(text, F.col("is_error")) + M.tool_weight(F.col("tool_name"), F.col("is_error"))).alias("evidence"),
-        "is_error", "tool_name", M.matches(text, M.VERIFIES).alias("verifies"), M.matches(text, M.MUTATES).alias("mutates"), M.matches(text, M.REPORTS).alias("reports"),
+        "source_id", F.col("line_index").cast("long").alias("line"), "entry_id", "role", (c != "").alias("has_text"), M.has_tool_call().alias("calls"), F.xxhash64(c).alias("said"),
+        F.when(by_user, M.low_value(c)).alias("low"), F.when(by_user, M.continuation(c)).alias("goes_on"),
+        F.when(F.col("role") == "assistant", M.milestone_score(c)).alias("milestone"), F.when(by_tool, M.evidence_signal(c, err) + M.tool_weight(F.col("tool_name"), err)).alias("evidence"),
+        "is_error", "tool_name", *(F.when(by_tool, M.matches(c, p)).alias(n) for n, p in (("verifies", M.VERIFIES), ("mutates", M.MUTATES), ("reports", M.REPORTS))),
     )
 
 
@@ -62,8 +63,9 @@ class Turn:
         self.active = True
         if not r.has_text:
             return
-        self.terminal = None if r.calls or r.process else r.entry_id
-        if not r.process:
+        process = r.milestone <= -1000
+        self.terminal = None if r.calls or process else r.entry_id
+        if not process:
             self.latest = (self.seen, r.entry_id)
             if r.milestone >= 55:
                 self.milestones = [*self.milestones, self.latest][-MOST:]

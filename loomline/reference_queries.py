@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import messages as M
 from loomline.functions import text as T
-from loomline.operators import archive, branch, constraints, ordering, segments, turns, vocabulary
+from loomline.operators import archive, branch, constraints, merge, ordering, responses, segments, turns, vocabulary
 from loomline.plans import clean
 from loomline.queries import query
 from loomline.runtime import read
@@ -87,7 +87,8 @@ SELECT source_id, entry_id, process_only, low_value, c <> '' AND (low_value OR {
 def message_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How each message text is judged when turns are selected."""
     m = M.with_message(M.distinct_entries(read(spark, sf_dir, "session_entries")))
-    text, err = F.col("text"), F.col("is_error")
+    m = m.withColumn("c", T.compact_lower(F.col("text")))
+    text, err = F.col("c"), F.col("is_error")
     readable = F.coalesce(F.schema_of_variant(F.try_parse_json("message")).startswith("OBJECT"), F.lit(False))
     return m.filter(readable).select(
         "source_id", "entry_id", M.process_only(text).alias("process_only"), M.low_value(text).alias("low_value"), M.continuation(text).alias("continuation"),
@@ -415,3 +416,51 @@ SELECT b.source_id, input_segments, coalesce(n, 0) AS output_segments, 0 AS reda
 def clean_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What cleaning leaves of every source."""
     return clean.summary(read(spark, sf_dir, "visible_segments"))
+
+
+FAMILY_SQL = """
+p AS (SELECT s.source_path, CASE WHEN EXISTS (SELECT 1 FROM sessions q WHERE q.source_path = s.parent_session) THEN s.parent_session END AS parent FROM sessions s WHERE s.source_path IS NOT NULL),
+f AS (SELECT source_path, source_path AS root_path, CAST(0 AS BIGINT) AS generation FROM p WHERE parent IS NULL
+  UNION ALL SELECT p.source_path, f.root_path, f.generation + 1 FROM f JOIN p ON p.parent = f.source_path)
+"""
+
+
+@query(f"WITH RECURSIVE {FAMILY_SQL} SELECT * FROM f")
+def session_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each session with the first of its line and the generations between."""
+    return merge.families(read(spark, sf_dir, "sessions"))
+
+
+@query(
+    """WITH s AS (SELECT source_id, entry_type, row_number() OVER (PARTITION BY source_id ORDER BY line_index, entry_id, raw_line_sha256) - 1 AS place
+  FROM (SELECT DISTINCT source_id, entry_type, line_index, entry_id, raw_line_sha256 FROM timeline_records WHERE source_id IS NOT NULL)),
+a AS (SELECT source_id, list(entry_type ORDER BY place) AS x FROM s GROUP BY source_id),
+p AS (SELECT DISTINCT q.source_id AS "left", c.source_id AS "right" FROM sessions c JOIN sessions q ON c.parent_session = q.source_path)
+SELECT "left", "right", CAST(coalesce(list_max(list_filter(range(1, least(len(l.x), len(r.x)) + 1), lambda k: l.x[len(l.x) - k + 1 :] = r.x[1 : k])), 0) AS BIGINT) AS overlap
+FROM p LEFT JOIN a l ON l.source_id = "left" LEFT JOIN a r ON r.source_id = "right" """
+)
+def session_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each session begins with what ends its parent session, by entry types of archived lines."""
+    t = read(spark, sf_dir, "timeline_records").filter("source_id is not null").select("source_id", "entry_type", "line_index", "entry_id", "raw_line_sha256").distinct()
+    placed = ordering.position_in_group(t, "source_id", [F.col("line_index").asc_nulls_last(), F.col("entry_id").asc_nulls_last(), F.col("raw_line_sha256").asc_nulls_last()])
+    s = read(spark, sf_dir, "sessions")
+    pairs = s.select(F.col("source_id").alias("right"), "parent_session").join(s.select(F.col("source_id").alias("left"), F.col("source_path").alias("parent_session")), "parent_session")
+    return merge.overlaps(pairs, placed.select(F.col("source_id").alias("source"), (F.col("position") - 1).alias("place"), F.col("entry_type").alias("signature")))
+
+
+@query()
+def boundary_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near repeats between neighbours when the sessions of one family are read one after the other."""
+    s = read(spark, sf_dir, "sessions").select("source_id", "source_path")
+    of = s.join(merge.families(read(spark, sf_dir, "sessions")), "source_path").select("source_id", "root_path", "generation")
+    rows = read(spark, sf_dir, "visible_segments").join(of, "source_id")
+    return merge.boundary_near(rows, "root_path", ["generation", "source_id", "source_order", "segment_id"])
+
+
+@query(
+    """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{"n":' || doc_id || '}' WHEN 1 THEN '{"n":' || doc_id || '}' WHEN 2 THEN '{"n":{"k":"}"}}' END AS object FROM documents"""
+)
+def response_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON objects out of (synthetic) responses: plain, fenced, embedded and absent."""
+    text = F.expr("CASE doc_id % 4 WHEN 0 THEN concat(' {\"n\":', doc_id, '} ') WHEN 1 THEN concat('Here:\\n```json\\n{\"n\":', doc_id, '}\\n```\\nDone.') WHEN 2 THEN 'It is {\"n\":{\"k\":\"}\"}} I think {' ELSE 'none' END")
+    return responses.objects(read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))).select("doc_id", "object")

@@ -36,10 +36,8 @@ def read_sessions(spark: SparkSession, path: str, strict: bool = True) -> tuple[
     The first line must be the header; entries without a string id are left out.
     """
     rows = parsed(read_lines(spark, path))
-    if strict:
-        checked = F.when(F.col("readable"), F.col("line_index")).otherwise(F.raise_error(F.concat(F.lit("unreadable line "), F.col("line_index").cast("string"), F.lit(" of "), F.col("source_path"))))
-        rows = rows.withColumn("line_index", checked)
-    rows = rows.filter("readable")
+    wrong = F.raise_error(F.concat(F.lit("unreadable line "), F.col("line_index").cast("string"), F.lit(" of "), F.col("source_path")))
+    rows = rows.filter(F.when(F.col("readable"), F.lit(True)).otherwise(wrong.cast("boolean")) if strict else F.col("readable"))
     header = rows.filter("entry_type = 'session'").groupBy("source_path").agg(F.min_by(F.struct("entry_id", "ts_text", "raw"), "line_index").alias("h"))
     v = F.parse_json("h.raw")
     headers = header.select("source_path", F.col("h.entry_id").alias("source_id"), F.coalesce(F.try_variant_get(v, "$.version", "int"), F.lit(1)).alias("format_version"), F.try_variant_get(v, "$.cwd", "string").alias("cwd"), F.try_variant_get(v, "$.parentSession", "string").alias("parent_session"))
