@@ -88,7 +88,7 @@ def shape(text: str) -> str:
         t = m[0]
         return f"h{len(t)}" if HEX.match(t) else "9" if t.isdigit() else "a"
 
-    return TOKEN.sub(kind, text[:400])
+    return TOKEN.sub(kind, text)
 
 
 def keep(known: dict, text: str) -> None:
