@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import math
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -214,12 +215,22 @@ def compare(old: dict, new: dict) -> list[tuple[str, str, str]]:
     return changes + [("", g, "added") for g in come] + [(f, "", "removed") for f in gone]
 
 
+def packed(fields: dict) -> bytes:
+    """The profiles of a file in few bytes."""
+    return zlib.compress(json.dumps(fields).encode(), 1)
+
+
+def unpacked(data: bytes) -> dict:
+    """The reverse of ``packed``."""
+    return json.loads(zlib.decompress(bytes(data)))
+
+
 def file_profiles(records: DataFrame) -> DataFrame:
-    """``stream_id``, ``file_seq``, ``file_name``, ``record_kind``, ``profile`` (JSON): one row per file with a readable record.
+    """``stream_id``, ``file_seq``, ``file_name``, ``record_kind``, ``profile`` (packed): one row per file with a readable record.
 
     Partial profiles are made where the records are read; only they are moved.
     """
-    schema = "stream_id string, file_seq long, file_name string, record_kind string, profile string"
+    schema = "stream_id string, file_seq long, file_name string, record_kind string, profile binary"
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -234,7 +245,7 @@ def file_profiles(records: DataFrame) -> DataFrame:
             yield frame(files)
 
     def frame(files: dict) -> pd.DataFrame:
-        out = pd.DataFrame([(*k, json.dumps(v)) for k, v in files.items()], columns=["stream_id", "file_seq", "file_name", "record_kind", "profile"])
+        out = pd.DataFrame([(*k, packed(v)) for k, v in files.items()], columns=["stream_id", "file_seq", "file_name", "record_kind", "profile"])
         return out.astype({"file_seq": "Int64"})
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -246,7 +257,7 @@ def file_profiles(records: DataFrame) -> DataFrame:
                     if name is not None:
                         done[key] = close(fields)
                     name, key, fields = k[2], tuple(k), {}
-                for path, p in json.loads(text).items():
+                for path, p in unpacked(text).items():
                     fields[path] = merge(fields[path], p) if path in fields else p
             yield frame(done)
         if name is not None:
@@ -281,7 +292,7 @@ def drift(records: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(f, *c) for f, x, y in zip(b["file_name"], b["old"], b["new"], strict=True) if x != y for c in compare(json.loads(x), json.loads(y))]
+            rows = [(f, *c) for f, x, y in zip(b["file_name"], b["old"], b["new"], strict=True) if x != y for c in compare(unpacked(x), unpacked(y))]
             yield pd.DataFrame(rows, columns=["file_name", "old_field", "new_field", "change_kind"], dtype=object)
 
     return both.select("file_name", "old", "new").mapInPandas(run, CHANGES).distinct()
@@ -295,7 +306,7 @@ def fields(records: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(k, f, p["type"]) for k, text in zip(b["record_kind"], b["profile"], strict=True) for f, p in json.loads(text).items()]
+            rows = [(k, f, p["type"]) for k, text in zip(b["record_kind"], b["profile"], strict=True) for f, p in unpacked(text).items()]
             yield pd.DataFrame(rows, columns=["record_kind", "field", "type"], dtype=object)
 
     each = file_profiles(records).mapInPandas(run, "record_kind string, field string, type string")
