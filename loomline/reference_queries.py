@@ -403,8 +403,8 @@ def constraint_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {CANON_SQL} SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY source_order, segment_id) AS position, CASE seg_kind WHEN 'user' THEN '用户' WHEN 'assistant' THEN '助手' WHEN 'tool' THEN '工具' WHEN 'checkpoint' THEN '上下文' WHEN 'break' THEN '断点' ELSE '' END || '：' || chr(10) || canon AS block FROM signed")
 def render_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every source rendered block by block (no secret stands in this data)."""
-    return clean.rendered(read(spark, sf_dir, "visible_segments"), clean.Policy())
+    """Every source rendered block by block, every segment kept (no secret stands in this data)."""
+    return clean.rendered(read(spark, sf_dir, "visible_segments"), clean.ALL_STAY)
 
 
 @query(
@@ -414,8 +414,27 @@ SELECT b.source_id, input_segments, coalesce(n, 0) AS output_segments, 0 AS reda
   CASE WHEN raw_chars > 0 THEN floor((1 - coalesce(c, 0) / raw_chars) * 1000 + 0.5) / 10 ELSE 0.0 END AS reduction_pct FROM b LEFT JOIN a ON a.source_id IS NOT DISTINCT FROM b.source_id"""
 )
 def clean_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What cleaning leaves of every source."""
-    return clean.summary(read(spark, sf_dir, "visible_segments"))
+    """What cleaning leaves of every source where every segment is kept."""
+    return clean.summary(read(spark, sf_dir, "visible_segments"), clean.ALL_STAY)
+
+
+def family_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sessions as documents, those of one family in one merge."""
+    s = read(spark, sf_dir, "sessions")
+    of = merge.families(s).select("source_path", F.col("root_path").alias("merge"))
+    return s.join(of, "source_path").select("merge", "source_id", "source_path", "parent_session", "created_ms")
+
+
+@query()
+def merged_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every family of sessions cleaned into one document by all steps, block by block."""
+    return clean.rendered(read(spark, sf_dir, "visible_segments"), clean.Policy(), family_documents(spark, sf_dir))
+
+
+@query()
+def merged_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of cleaning removes from every family of sessions."""
+    return clean.summary(read(spark, sf_dir, "visible_segments"), clean.Policy(), family_documents(spark, sf_dir))
 
 
 FAMILY_SQL = """

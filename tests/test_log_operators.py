@@ -1,4 +1,7 @@
 import json
+import random
+import re
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +149,92 @@ def test_merge_order():
     assert clean.merge_order([d("x", "px", "py", 2, 0), d("y", "py", "px", 1, 1)]) == ["y", "x"]
 
 
+DOCUMENT = "merge string, source_id string, source_path string, parent_session string, created_ms long"
+
+
+def plain_merge(documents, segments_of):
+    """The pipeline as a plain fold over lists: ids of the kept segments and the numbers removed."""
+    removed = {"exact": 0, "overlap": 0, "near": 0}
+
+    def text_of(s):
+        t = T.canonical(s[4])
+        return T.canonical(re.sub(r"sk-[A-Za-z0-9_-]{16,}", "[REDACTED_KEY]", t))
+
+    def sign(s):
+        return s[3], re.sub("\n{2,}", "\n", re.sub("[\t ]+", " ", text_of(s))).strip()
+
+    def adjacent(rows):
+        out = []
+        for s in rows:
+            if out and sign(out[-1]) == sign(s):
+                removed["exact"] += 1
+            else:
+                out.append(s)
+        return out
+
+    docs = {d[1]: adjacent(sorted((s for s in segments_of[d[1]] if text_of(s)), key=lambda s: (s[2], s[0]))) for d in documents}
+    order = clean.merge_order([{"id": d[1], "path": d[2], "parent": d[3], "created": d[4], "index": d[1]} for d in documents])
+    seen, out = set(), []
+    for i in order:
+        mark = tuple(map(sign, docs[i]))
+        if mark in seen:
+            removed["exact"] += len(docs[i])
+            continue
+        seen.add(mark)
+        start = next((k for k in range(min(len(out), len(docs[i])), 0, -1) if [sign(s) for s in out[-k:]] == [sign(s) for s in docs[i][:k]]), 0)
+        removed["overlap"] += start
+        out += docs[i][start:]
+    final = []
+    for s in adjacent(out):
+        if final:
+            a, b = final[-1], s
+            short, long = sorted((re.sub(r"[\W_]+", "", text_of(x).lower()) for x in (a, b)), key=len)
+            if a[3] == b[3] and a[1] != b[1] and min(len(text_of(a)), len(text_of(b))) >= 80 and short in long and len(short) >= 0.98 * len(long):
+                removed["near"] += 1
+                final[-1] = b if len(text_of(b)) > len(text_of(a)) else a
+                continue
+        final.append(s)
+    return [s[0] for s in final], removed
+
+
+def test_whole_cleaning_of_merged_documents(spark):
+    """Repeats within and between documents, whole copies, overlaps over several documents and near repeats, against a plain fold."""
+    r = random.Random(3)
+    long = ["word " * 40 + "a", "word " * 40 + "ab", "text, " * 30, "text " * 30 + "!"]
+    documents, rows, of = [], [], {}
+    for m in range(12):
+        lines = [(r.choice(["user", "assistant"]), r.choice(["hi", "hi ", "yes", "key sk-" + "x" * 20, "key sk-" + "y" * 20, *long])) for _ in range(14)]
+        for d in range(6):
+            source = f"s{m}_{d}"
+            parent = r.choice([None, "gone", *(f"/{m}/{k}" for k in range(d))]) if m else f"/{m}/{(d + 1) % 6}"
+            documents.append((f"m{m}", source, f"/{m}/{d}", parent, r.choice([None, 5, 7, d])))
+            a = r.randrange(8)
+            said = r.choice([lines[a : a + r.randrange(7)], lines[:5], lines[3:9], lines[7:]])
+            of[source] = [(len(rows) + k, source, k // 2, kind, text, None) for k, (kind, text) in enumerate(said)]
+            rows += of[source]
+    alone = [(9001, "free", 1, "user", "hi", None), (9002, "free", 2, "user", "hi", None), (9003, None, 1, "user", "hi", None), (9004, None, 2, "tool", "hi", None)]
+    table, listed = spark.createDataFrame(rows + alone, SEGMENT), spark.createDataFrame(documents, DOCUMENT)
+    want = {f"m{m}": plain_merge([d for d in documents if d[0] == f"m{m}"], of) for m in range(12)} | {"free": ([9001], {"exact": 1, "overlap": 0, "near": 0}), None: ([9003, 9004], {"exact": 0, "overlap": 0, "near": 0})}
+    out = clean.merged(table, clean.Policy(), listed).cache()
+    got = defaultdict(list)
+    for x in out.filter("fate = 'kept'").orderBy("m", "ord", "place").collect():
+        got[x.merge].append(x.segment_id)
+    assert dict(got) == {m: ids for m, (ids, _) in want.items() if ids}
+    assert {x.fate for x in out.select("fate").collect()} == {"kept", "exact", "document", "overlap", "near"}
+    total = {x.merge: (x.output_segments, {"exact": x.exact_removed, "overlap": x.overlap_removed, "near": x.near_removed}) for x in clean.summary(table, clean.Policy(), listed).collect()}
+    assert total == {m: (len(ids), n) for m, (ids, n) in want.items()}
+    blocks = clean.rendered(table, clean.Policy(), listed).filter("merge = 'm1'").orderBy("position").collect()
+    assert [b.position for b in blocks] == list(range(1, len(want["m1"][0]) + 1)) and not any("sk-" in b.block for b in blocks)
+    assert [b.block for b in clean.rendered(table, clean.Policy()).filter("source_id = 'free'").collect()] == ["用户：\nhi"]
+
+
+def test_suffix_prefix():
+    r = random.Random(1)
+    for _ in range(500):
+        a, b = r.choices("ab", k=r.randrange(7)), r.choices("ab", k=r.randrange(7))
+        assert clean.suffix_prefix(a, b) == max(k for k in range(min(len(a), len(b)) + 1) if a[len(a) - k :] == b[:k])
+
+
 def test_archive_round_trip_and_tampering(spark):
     df = spark.createDataFrame([(1, "héllo\n" * 500), (2, ""), (3, None)], "k long, t string")
     chunks = archive.archived(df, "k", "t", chunk_chars=16).cache()
