@@ -48,7 +48,7 @@ FIRST_LEVEL, MOST_LEVELS = 4, 12
 NODE = 64
 #: One-bit minwise values in a sketch (two 64-bit words), and the least that must agree to compare word by word.
 SKETCH_BITS, LEAST_AGREEMENT = 128, 95
-#: Groups of exact copies up to this size are written out as all pairs, larger ones as pairs with their first copy.
+#: Groups of identical texts up to this size are written out as all pairs, larger ones as pairs with their first copy.
 MOST_COPIES = 64
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -96,7 +96,12 @@ def roots(trees: int) -> np.ndarray:
 
 
 def classes(segments: DataFrame, least_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(``rep``, ``text`` of one segment per set of exact copies; ``rep``, ``segment_id`` of all): copies hold the same words equally often."""
+    """(``rep``, ``text`` of one segment per bag of words; ``rep``, ``first``, ``n``, ``segment_id`` of all).
+
+    A bag holds all texts of the same words equally often, in whatever order and
+    spelling; ``first`` and ``n`` are the first segment and the size of the
+    identical texts in it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -110,10 +115,11 @@ def classes(segments: DataFrame, least_chars: int) -> tuple[DataFrame, DataFrame
 
     wanted = segments.select("segment_id", "text").filter((F.length("text") >= least_chars) & F.col("segment_id").isNotNull()).dropDuplicates(["segment_id"])
     bags = wanted.mapInPandas(run, "segment_id long, text string, bag binary")
-    keyed = bags.select("segment_id", "text", F.xxhash64("bag").alias("h1"), F.xxhash64(F.lit(7), F.reverse(F.hex("bag"))).alias("h2"))
+    keyed = bags.select("segment_id", "text", F.xxhash64("bag").alias("h1"), F.xxhash64(F.lit(7), F.reverse(F.hex("bag"))).alias("h2"), F.unhex(F.sha2("text", 256)).alias("same"))
     members = Spool(keyed, "segs").df
-    reps = members.groupBy("h1", "h2").agg(F.min("segment_id").alias("rep"), F.count("*").alias("n"))
-    listed = members.select("segment_id", "h1", "h2").join(reps, ["h1", "h2"]).select("rep", "segment_id", "n")
+    identical = members.groupBy("h1", "h2", "same").agg(F.min("segment_id").alias("first"), F.count("*").alias("n"))
+    reps = identical.groupBy("h1", "h2").agg(F.min("first").alias("rep"))
+    listed = members.select("segment_id", "h1", "h2", "same").join(identical, ["h1", "h2", "same"]).join(reps, ["h1", "h2"]).select("rep", "first", "n", "segment_id")
     membership = Spool(listed, "member").df
     return members.select("segment_id", "text").join(membership.filter("rep = segment_id").select("segment_id"), "segment_id").select(F.col("segment_id").alias("rep"), "text"), membership
 
@@ -301,21 +307,19 @@ def links(reps: DataFrame, similarity: Fraction = SIMILARITY, common: float = CO
 def pairs(segments: DataFrame, least_chars: int = LEAST_CHARS, most_copies: int = MOST_COPIES, **how) -> DataFrame:
     """``segment_id_a`` < ``segment_id_b``: segments of ``least_chars`` or more whose words overlap by 0.8 of the longer.
 
-    Exact copies (the same words equally often) are joined once, through their
-    first segment.  Groups of at most ``most_copies`` are written out as all
-    pairs; a larger group as the pairs of each copy with the first, and its
-    links to other texts as those of the first with each of theirs, which keeps
-    every link between different texts and the output in proportion to the
-    input.  Null texts or ids, short texts and texts without a word give no row;
+    Texts of the same words equally often are joined once, through their first
+    segment, and written out as all pairs, as are their links to other texts.
+    Only of more than ``most_copies`` identical texts are the pairs those of
+    each copy with the first, and the links to other texts those of the first,
+    which keeps every link between different texts.  Null texts or ids, short texts and texts without a word give no row;
     a repeated id counts once; an empty table gives an empty result.
     """
     reps, members = classes(segments, least_chars)
     near = links(reps, **how)
-    small = F.col("n") <= most_copies
-    shown = members.filter(small | (F.col("rep") == F.col("segment_id"))).select("rep", "segment_id")
-    rest = members.filter(~small & (F.col("rep") != F.col("segment_id"))).select(F.col("rep").alias("x"), F.col("segment_id").alias("y"))
-    copies = members.filter(small & (F.col("n") > 1)).select("rep", "segment_id")
-    twins = copies.select("rep", F.col("segment_id").alias("x")).join(copies.select("rep", F.col("segment_id").alias("y")), "rep").filter("x < y").select("x", "y")
+    shown_as_such = (F.col("n") <= most_copies) | (F.col("first") == F.col("segment_id"))
+    shown = members.filter(shown_as_such).select("rep", "segment_id")
+    rest = members.filter(~shown_as_such).select(F.col("first").alias("x"), F.col("segment_id").alias("y"))
+    twins = shown.select("rep", F.col("segment_id").alias("x")).join(shown.select("rep", F.col("segment_id").alias("y")), "rep").filter("x < y").select("x", "y")
     across = (
         near.join(shown.select("rep", F.col("segment_id").alias("x")), "rep")
         .join(shown.select(F.col("rep").alias("other"), F.col("segment_id").alias("y")), "other").select("x", "y")

@@ -195,6 +195,21 @@ def test_copies_beyond_the_bound_keep_their_class(spark):
     assert got == {(0, k) for k in range(1, 12)} | {(0, 50), (0, 51), (50, 51)}
 
 
+def test_reordered_texts_beyond_the_bound_are_all_paired(spark):
+    """Texts of the same words in another order, case or punctuation are no identical copies: no group size takes their pairs away."""
+    r = random.Random(4)
+    base = [f"word{i}" for i in range(40)]
+    rows = []
+    for k in range(70):
+        w = list(base)
+        r.shuffle(w)
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, " ".join(["other", *base[1:]])) for k in range(2)] + [(200 + k, ", ".join(base).title()) for k in range(70)]
+    got = {tuple(x) for x in near_duplicates.pairs(spark.createDataFrame(rows, "segment_id long, text string"), common=1.0).collect()}
+    want = near_duplicates.brute_force(dict(rows))
+    assert got == {p for p in want if not p[1] > 200} | {(200, k) for k in range(201, 270)}
+
+
 def test_similarity_is_exact():
     a = " ".join(f"w{i}" for i in range(50))
     assert near_duplicates.brute_force({1: a, 2: " ".join(f"w{i}" for i in range(10, 60))}) == {(1, 2)}
