@@ -467,6 +467,21 @@ def session_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.overlaps(pairs, placed.select(F.col("source_id").alias("source"), (F.col("position") - 1).alias("place"), F.col("entry_type").alias("signature")))
 
 
+@query(
+    f"""WITH RECURSIVE {CANON_SQL}, a AS (SELECT source_id, list(signature ORDER BY source_order, segment_id) AS x FROM signed WHERE source_id IS NOT NULL GROUP BY source_id),
+p AS (SELECT DISTINCT q.source_id AS "left", c.source_id AS "right" FROM sessions c JOIN sessions q ON c.parent_session = q.source_path)
+SELECT "left", "right", CAST(coalesce(list_max(list_filter(range(1, least(len(l.x), len(r.x)) + 1), lambda k: l.x[len(l.x) - k + 1 :] = r.x[1 : k])), 0) AS BIGINT) AS overlap
+FROM p LEFT JOIN a l ON l.source_id = "left" LEFT JOIN a r ON r.source_id = "right" """
+)
+def session_content_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each session begins with what ends its parent session, by kind and text of visible segments."""
+    t = segments.signed(read(spark, sf_dir, "visible_segments")).filter("source_id is not null").select("source_id", "source_order", "segment_id", "signature")
+    placed = ordering.position_in_group(t, "source_id", [F.col("source_order"), F.col("segment_id")])
+    s = read(spark, sf_dir, "sessions")
+    pairs = s.select(F.col("source_id").alias("right"), "parent_session").join(s.select(F.col("source_id").alias("left"), F.col("source_path").alias("parent_session")), "parent_session")
+    return merge.overlaps(pairs, placed.select(F.col("source_id").alias("source"), (F.col("position") - 1).alias("place"), "signature"))
+
+
 @query()
 def boundary_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near repeats between neighbours when the sessions of one family are read one after the other."""

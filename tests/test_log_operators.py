@@ -143,6 +143,16 @@ def test_overlaps(spark):
     assert got == {("l", "r"): 4, ("l", "n"): 0, ("n", "n"): 2, ("l", "gone"): 0}
 
 
+def test_session_overlaps_compare_content(spark, tmp_path):
+    from loomline.reference_queries import session_content_overlaps
+
+    rows = [("a", "user", "one"), ("a", "user", "two"), ("a", "tool", "three"), ("b", "user", " two"), ("b", "tool", "three"), ("b", "user", "four"), ("c", "user", "other"), ("c", "tool", "three")]
+    spark.createDataFrame([(k, s, k, kind, t, None) for k, (s, kind, t) in enumerate(rows)], SEGMENT).write.parquet(f"{tmp_path}/visible_segments.parquet")
+    spark.createDataFrame([("a", "/a", None), ("b", "/b", "/a"), ("c", "/c", "/a"), ("d", "/d", "/b")], "source_id string, source_path string, parent_session string").write.parquet(f"{tmp_path}/sessions.parquet")
+    got = {(r.left, r.right): r.overlap for r in session_content_overlaps(spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): 2, ("a", "c"): 0, ("b", "d"): 0}
+
+
 def test_merge_order():
     d = lambda i, path, parent, created, index: {"id": i, "path": path, "parent": parent, "created": created, "index": index}
     assert clean.merge_order([d("c", "pc", "pa", 1, 0), d("a", "pa", None, 5, 1), d("b", "pb", "gone", None, 2)]) == ["a", "c", "b"]
