@@ -132,3 +132,37 @@ def prefix_offsets(df: DataFrame, group: str, order: list, value: str, salt: str
         .withColumn("offset", F.col("_before") + F.col("_inside"))
         .drop("_bucket", "_group", "_b", "_before", "_inside")
     )
+
+
+def components(links: DataFrame) -> DataFrame:
+    """``node``, ``least``: the smallest node of each connected component, for every node of the links (``a``, ``b``, longs).
+
+    Alternates large stars (every greater neighbour goes to the least one) and
+    small stars (so do the smaller ones) until no link changes: log rounds, each
+    of a minimum per node, combined before it is shuffled, and an equi-join.
+    """
+    ends = [F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")]
+    now = Spool(links.filter("a <> b").select(*ends).distinct(), "stars")
+
+    def star(edges: DataFrame, large: bool) -> DataFrame:
+        both = edges.select(F.col("high").alias("u"), F.col("low").alias("v"))
+        if large:
+            both = both.unionByName(edges.select(F.col("low").alias("u"), F.col("high").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        led = both.join(least, "u")
+        moved = led.filter("v > u") if large else led.unionByName(least.select("u", F.col("u").alias("v"), "m"))
+        return moved.filter("v <> m").select(F.col("m").alias("low"), F.col("v").alias("high")).distinct()
+
+    def mark(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(20,0)"))).first())
+
+    seen = mark(now.df)
+    while True:
+        after = Spool(star(star(now.df, True), False), "stars")
+        now.drop()
+        now, state = after, mark(after.df)
+        if state == seen:
+            break
+        seen = state
+    found = now.df
+    return found.select(F.col("high").alias("node"), F.col("low").alias("least")).unionByName(found.select(F.col("low").alias("node"), F.col("low").alias("least")).distinct())

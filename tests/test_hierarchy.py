@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from loomline.operators.forest import components
 from loomline.operators.hierarchy import descendants, expand_paths, hierarchy
 
 FIELDS = "source_id string, entry_id string, parent_id string, line_index long, root_id int, chain_id int"
@@ -63,3 +64,22 @@ def test_empty_and_only_loops(spark, local_rows):
     assert hierarchy(spark.createDataFrame([], FIELDS), local_rows=local_rows).count() == 0
     got = hierarchy(spark.createDataFrame([("a", "x", "y", 1, 0, 0), ("a", "y", "x", 2, 0, 0), ("a", "z", "z", 3, 0, 0)], FIELDS), local_rows=local_rows)
     assert sorted((r.entry_id, r.root_id, r.node_depth) for r in got.collect()) == [("x", "x", -1), ("y", "x", -1), ("z", "z", -1)]
+
+
+def test_components_against_union_find(spark):
+    r = random.Random(6)
+    links = [(r.randrange(300), r.randrange(300)) for _ in range(220)] + [(1000, 1000 + k) for k in range(1, 80)] + [(5000 + k, 5001 + k) for k in range(60)] + [(7, 7)]
+    up = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((top(a), top(b)))
+            up[y] = x
+    got = {tuple(x) for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {(x, top(x)) for x in list(up)}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
