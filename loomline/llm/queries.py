@@ -130,7 +130,28 @@ def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.profile(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_grades"))
 
 
-@query()
+NEAR_SQL = r"""
+WITH RECURSIVE s AS (SELECT segment_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM visible_segments WHERE length(text) >= 80),
+c AS (SELECT segment_id, word, count(*) AS n FROM (SELECT segment_id, unnest(w) AS word FROM s) GROUP BY ALL),
+p AS (SELECT a.segment_id AS x, b.segment_id AS y, sum(least(a.n, b.n)) AS shared FROM c a JOIN c b ON a.word = b.word AND a.segment_id < b.segment_id GROUP BY ALL),
+near AS (SELECT x, y FROM p JOIN s a ON a.segment_id = x JOIN s b ON b.segment_id = y WHERE 5 * shared >= 4 * greatest(len(a.w), len(b.w))),
+ends AS (SELECT x, y FROM near UNION ALL SELECT y, x FROM near),
+reach AS (SELECT x, x AS y FROM ends UNION SELECT r.x, e.y FROM reach r JOIN ends e ON e.x = r.y),
+class AS (SELECT segment_id, min(segment_id) OVER v AS class_id, count(*) OVER v AS copies FROM s WHERE len(w) > 0 WINDOW v AS (PARTITION BY list_sort(w)))
+"""
+
+
+@query(NEAR_SQL + "SELECT x AS segment_id_a, y AS segment_id_b FROM near")
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pairs of segments of which one is a slightly edited copy of the other."""
     return near_duplicates.pairs(read(spark, sf_dir, "visible_segments"))
+
+
+@query(
+    NEAR_SQL
+    + """SELECT segment_id, class_id, copies, (SELECT count(*) FROM ends WHERE x = segment_id) AS links,
+  coalesce((SELECT min(y) FROM reach WHERE x = segment_id), class_id) AS group_id FROM class"""
+)
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every compared segment with its class of copies, its number of links and its group."""
+    return near_duplicates.grouped(read(spark, sf_dir, "visible_segments"))

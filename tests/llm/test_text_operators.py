@@ -1,7 +1,10 @@
 import random
+from collections import Counter
 from fractions import Fraction
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from loomline.llm import conversations, leakage, mixing, near_duplicates, pii, reading
 from loomline.llm.conversations import kind_of
@@ -184,14 +187,14 @@ def test_near_duplicates_in_one_large_cluster(spark):
         rows.append((k, " ".join(w)))
     rows += [(1000 + k, " ".join(r.choices([f"v{i}" for i in range(900)], k=40))) for k in range(660)]
     table = spark.createDataFrame(rows, "segment_id long, text string")
-    got = {tuple(x) for x in near_duplicates.pairs(table, most_levels=5, common=0.5).collect()}
+    got = {tuple(x) for x in near_duplicates.pairs(table, node_rows=64, most_steps=1).collect()}
     assert {p for p in got if p[1] < 1000} == {(a, b) for a in range(330) for b in range(a + 1, 330)}
 
 
 def test_copies_beyond_the_bound_keep_their_class(spark):
     text = " ".join(f"word{i}" for i in range(40))
     rows = [(k, text) for k in range(12)] + [(50, text.replace("word0 ", "other ")), (51, text.replace("word0 ", "third "))]
-    got = {tuple(x) for x in near_duplicates.pairs(spark.createDataFrame(rows, "segment_id long, text string"), most_copies=5, common=1.0).collect()}
+    got = {tuple(x) for x in near_duplicates.pairs(spark.createDataFrame(rows, "segment_id long, text string"), most_copies=5).collect()}
     assert got == {(0, k) for k in range(1, 12)} | {(0, 50), (0, 51), (50, 51)}
 
 
@@ -205,11 +208,29 @@ def test_reordered_texts_beyond_the_bound_are_all_paired(spark):
         r.shuffle(w)
         rows.append((k, " ".join(w)))
     rows += [(100 + k, " ".join(["other", *base[1:]])) for k in range(2)] + [(200 + k, ", ".join(base).title()) for k in range(70)]
-    got = {tuple(x) for x in near_duplicates.pairs(spark.createDataFrame(rows, "segment_id long, text string"), common=1.0).collect()}
+    got = {tuple(x) for x in near_duplicates.pairs(spark.createDataFrame(rows, "segment_id long, text string")).collect()}
     want = near_duplicates.brute_force(dict(rows))
     assert got == {p for p in want if not p[1] > 200} | {(200, k) for k in range(201, 270)}
 
 
+def test_groups_have_one_form_for_any_size(spark):
+    text = " ".join(f"word{i}" for i in range(40))
+    rows = [(k, text) for k in range(100)] + [(200, text.replace("word0 ", "other ")), (300, " ".join(f"else{i}" for i in range(40))), (301, "short"), (None, text), (302, None)]
+    got = {r.segment_id: tuple(r)[1:] for r in near_duplicates.grouped(spark.createDataFrame(rows, "segment_id long, text string")).collect()}
+    assert got == {k: (0, 100, 100, 0) for k in range(100)} | {200: (200, 1, 100, 0), 300: (300, 1, 0, 300)}
+    assert near_duplicates.grouped(spark.createDataFrame([], "segment_id long, text string")).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abcdefgh"), max_size=40), st.lists(st.sampled_from("abcdefgh"), max_size=40))
+def test_parity_maps_lose_no_similar_pair(x, y):
+    bags = near_duplicates.Bags([" ".join(x), " ".join(y)], near_duplicates.WordHashes())
+    size, maps = bags.size.astype("int32"), bags.maps().view("uint64")
+    i, _ = near_duplicates.alike(size[:1], maps[:1], size[1:], maps[1:], Fraction(4, 5))
+    shared = (Counter(x) & Counter(y)).total()
+    assert len(i) or 5 * shared < 4 * max(len(x), len(y))
+
+
 def test_similarity_is_exact():
     a = " ".join(f"w{i}" for i in range(50))
     assert near_duplicates.brute_force({1: a, 2: " ".join(f"w{i}" for i in range(10, 60))}) == {(1, 2)}
