@@ -37,8 +37,8 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TALK_SQL = r"""
 WITH RECURSIVE e AS (
-  SELECT source_id, entry_id, coalesce(any_value(parent_id), '') AS parent_id, any_value(line_index) AS line_index, any_value(entry_type) AS entry_type, any_value(message) AS message
-  FROM session_entries GROUP BY source_id, entry_id),
+  SELECT source_id, entry_id, max_by(coalesce(parent_id, ''), line_index) AS parent_id, max(line_index) AS line_index, max_by(entry_type, line_index) AS entry_type,
+    max_by(struct_pack(v := message), line_index).v AS message FROM session_entries GROUP BY source_id, entry_id),
 r AS (SELECT *, CASE WHEN json_valid(message) AND json_type(message) = 'OBJECT' THEN lower(trim(coalesce(message->>'$.role', ''))) END AS role,
              CASE WHEN json_valid(message) THEN json_type(message, '$.content') END AS shape FROM e),
 k AS (SELECT *, CASE WHEN entry_type <> 'message' THEN 0
@@ -70,18 +70,56 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.kept(read(spark, sf_dir, "session_entries"))
 
 
-@query()
+# The likeliest parents in SQL: the same candidates, features and weights, over all entries that name a parent.
+LINK_SQL = r"""
+WITH e AS (
+  SELECT source_id, entry_id, max_by(coalesce(parent_id, ''), line_index) AS parent_id, max(line_index) AS line, max_by(struct_pack(v := ts_ms), line_index).v AS ts,
+    max_by(struct_pack(v := message), line_index).v AS message, max_by(entry_type, line_index) AS entry_type FROM session_entries GROUP BY source_id, entry_id),
+j AS (SELECT *, CASE WHEN entry_type = 'message' AND json_valid(message) AND json_type(message) = 'OBJECT' THEN message END AS js FROM e),
+x AS (SELECT *, CASE json_type(js, '$.content') WHEN 'VARCHAR' THEN js->>'$.content'
+  WHEN 'ARRAY' THEN array_to_string(list_filter(list_transform(json_extract(js, '$.content[*]'),
+    lambda b: CASE WHEN json_type(b) = 'VARCHAR' THEN b->>'$' WHEN (b->>'$.type') = 'text' THEN b->>'$.text' END), lambda t: t IS NOT NULL), chr(10)) ELSE '' END AS text FROM j),
+f AS (SELECT source_id, entry_id, parent_id, line, ts, list_distinct(regexp_extract_all(text, '[\p{L}\p{N}_]+(?:[_.][\p{L}\p{N}_]+)+|[\p{L}\p{N}_]+\(\)|[a-z]+[A-Z][\p{L}\p{N}_]+|\b\d{3,}\b')) AS mentions,
+  list_distinct(regexp_extract_all(lower(text), '\p{L}{3,}')) AS words FROM x),
+told AS (SELECT source_id, entry_id, parent_id, line, unnest(mentions) AS mention FROM f),
+cand AS (
+  SELECT source_id, entry_id, lag(entry_id) OVER (PARTITION BY source_id ORDER BY line, entry_id) AS cand FROM f
+  UNION SELECT source_id, entry_id, lag(entry_id) OVER (PARTITION BY source_id, mention ORDER BY line, entry_id) FROM told
+  UNION SELECT c.source_id, c.entry_id, p.entry_id FROM f c JOIN f p ON p.source_id = c.source_id AND p.entry_id = c.parent_id),
+scored AS (
+  SELECT c.source_id, c.entry_id, c.parent_id, p.entry_id AS cand, p.line, round(CASE WHEN c.parent_id = p.entry_id THEN 2.0 ELSE 0.0 END
+    + 0.5 * CASE WHEN c.ts - p.ts IS NULL THEN 0.0 ELSE exp(-greatest(c.ts - p.ts, 0) / 600000.0) END + 0.3 * least(1.0, len(list_intersect(c.mentions, p.mentions)) / 3.0)
+    + 0.2 * CASE WHEN len(c.words) + len(p.words) = 0 THEN 0.0 ELSE len(list_intersect(c.words, p.words)) / (len(c.words) + len(p.words) - len(list_intersect(c.words, p.words))) END, 6) AS score
+  FROM cand k JOIN f c ON c.source_id = k.source_id AND c.entry_id = k.entry_id JOIN f p ON p.source_id = k.source_id AND p.entry_id = k.cand WHERE c.parent_id <> ''),
+links AS (SELECT source_id, entry_id, parent_id, max(struct_pack(s := score, l := line, c := cand)).c AS likely_parent_id, max(struct_pack(s := score, l := line, c := cand)).s AS score FROM scored GROUP BY source_id, entry_id, parent_id)
+"""
+#: The conversations of ``TALK_SQL`` with likely parents of a least score in place of lost ones.
+THREAD_SQL = TALK_SQL.replace(
+    "r AS (SELECT",
+    """ee AS (SELECT e.* REPLACE (CASE WHEN e.parent_id = '' THEN '' ELSE coalesce(l.likely_parent_id, e.parent_id) END AS parent_id) FROM e LEFT JOIN likely l ON l.source_id = e.source_id AND l.entry_id = e.entry_id),
+r AS (SELECT""",
+    1,
+).replace("END AS shape FROM e)", "END AS shape FROM ee)")
+
+
+@query(THREAD_SQL.replace("WITH RECURSIVE e AS", "WITH RECURSIVE likely AS (" + LINK_SQL.strip() + "\nSELECT * FROM links WHERE score >= 0.3),\ne AS", 1) + "SELECT source_id, root_id, turn_no, entry_id FROM kept")
 def p5_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversations kept when lost parents are replaced by likely ones of a score of 0.3 or more."""
     return conversations.kept(read(spark, sf_dir, "session_entries"), least=0.3)
 
 
-@query()
+@query(LINK_SQL + "SELECT source_id, entry_id, likely_parent_id, score FROM links WHERE score < 2")
 def p5_likely_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The likeliest reply link of each entry whose parent line was lost."""
     return conversations.likely_parents(read(spark, sf_dir, "session_entries"))
 
 
+@query(LINK_SQL + "SELECT * FROM links")
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The likeliest reply link of every entry that names a parent, with its score."""
+    return conversations.links(read(spark, sf_dir, "session_entries"))
+
+
 LEAK_SQL = r"""
 WITH t AS (
   SELECT DISTINCT doc_id, v.w FROM (
