@@ -50,7 +50,7 @@ TREES = 24
 #: The most steps of a path before nodes are looked at, and the most steps of large nodes after it.
 MOST_LEVEL, MOST_STEPS = 12, 6
 #: The most texts of a node that are compared exhaustively, and of a block of a cluster.
-NODE, BLOCK = 512, 256
+NODE, BLOCK = 2_048, 256
 #: 64-bit words of a parity map.
 MAP_WORDS = 4
 #: Groups of identical texts up to this size are written out as all pairs, larger ones as pairs with their first copy.
@@ -286,13 +286,11 @@ def pair_frame(pairs: np.ndarray) -> pd.DataFrame:
 def compare_nodes(similarity: Fraction, node_rows: int):
     """A mapInPandas function over rows sorted by node: the likely pairs of small nodes (``other`` set); rows of large nodes pass through."""
 
-    def small(rows: pd.DataFrame) -> pd.DataFrame:
-        node, rep = rows["node"].to_numpy(), rows["rep"].to_numpy()
-        size, maps = rows["size"].to_numpy().astype(np.int32), rows[MAPS].to_numpy().view(np.uint64)
-        edges = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
+    def small(rows: pd.DataFrame, begin: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+        rep, size = rows["rep"].to_numpy(), rows["size"].to_numpy()
+        maps = np.column_stack([rows[m].to_numpy() for m in MAPS]).view(np.uint64)
         out = [np.empty((0, 2), dtype=np.int64)]
-        wide = np.flatnonzero(np.diff(edges) > 1)
-        for a, z in zip(edges[wide], edges[wide + 1], strict=True):
+        for a, z in zip(begin, end, strict=True):
             i, j = alike(size[a:z], maps[a:z], size[a:z], maps[a:z], similarity)
             up = i < j
             out.append(np.column_stack((rep[a + i[up]], rep[a + j[up]])))
@@ -303,10 +301,16 @@ def compare_nodes(similarity: Fraction, node_rows: int):
         return rows.assign(other=pd.array([pd.NA] * len(rows), dtype="Int64"))[["node", "rep", "other", "size", *MAPS]]
 
     def split(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        groups = rows.groupby("node")["state"]
-        known = (groups.transform("size") > node_rows) | (groups.transform("max") > 0)
-        yield small(rows[~known])
-        yield large(rows[known])
+        if not len(rows):
+            return
+        node = rows["node"].to_numpy()
+        edges = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1], [True])))
+        begin, end = edges[:-1], edges[1:]
+        known = (end - begin > node_rows) | (np.maximum.reduceat(rows["state"].to_numpy(), begin) > 0)
+        open_nodes = ~known & (end - begin > 1)
+        yield small(rows, begin[open_nodes], end[open_nodes])
+        if known.any():
+            yield large(rows[np.repeat(known, end - begin)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -406,12 +410,13 @@ def links(texts: DataFrame, similarity: Fraction = SIMILARITY, trees: int = TREE
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for b in batches:
-            keep = []
-            for x, y in zip(b["text"], b["text_other"], strict=True):
-                p, q = Bags([x], hashes).tokens, Bags([y], hashes).tokens
-                keep.append(len(np.intersect1d(p, q, assume_unique=True)) * bottom >= top * max(len(p), len(q)))
-            yield b.loc[keep, ["rep", "other"]]
+        for b in batched(batches):
+            p, q = Bags(b["text"].tolist(), hashes), Bags(b["text_other"].tolist(), hashes)
+            token, pair = np.concatenate((p.tokens, q.tokens)), np.concatenate((p.owner, q.owner))
+            order = np.lexsort((token, pair))
+            token, pair = token[order], pair[order]
+            shared = np.bincount(pair[1:][(token[1:] == token[:-1]) & (pair[1:] == pair[:-1])], minlength=len(b))
+            yield b.loc[shared * bottom >= top * np.maximum(p.size, q.size), ["rep", "other"]]
 
     both = likely.join(held, "rep").join(held.select(F.col("rep").alias("other"), F.col("text").alias("text_other")), "other")
     return both.select("rep", "other", "text", "text_other").mapInPandas(verify, "rep long, other long")
