@@ -1,19 +1,27 @@
 """Mixing sources to target weights by entropy balancing.
 
-The unit is the token.  Among all rates r >= 0 that give each source of a plan
-its tokens and no document more than its cap R, take those closest to the prior
-rates q in relative entropy, summed over tokens.  The dual has one multiplier
-per (plan, source) and the rates are tilted priors,
-
-    r = q * exp(m)                          without cap,
-    r = R / (1 + (R / q - 1) * exp(-m))     with cap (bounded entropy),
-
-so no cap is ever exceeded.  The prior of a document is 1 over the number of
-its exact copies: copies together count once.  Newton's method solves the dual;
-each step is one aggregation over the (source, copies) histogram of all
-documents.  Rates become whole copies by systematic rounding along documents
-sorted by size, so that the tokens reached differ from the goal by about the
-largest document of a source.
+Each document gets a rate r >= 0, no more than its cap R, such that the documents
+of a source give its tokens and keep their mean length:
+
+    sum of r * tokens = goal,    sum of r = goal / mean tokens of the source.
+
+Of all such rates those closest in relative entropy to the prior q are taken.
+The dual is convex with two multipliers (a, b) per plan and source, and the rates
+are exponentially tilted priors,
+
+    r = q * exp(z)                          without cap,
+    r = R / (1 + (R / q - 1) * exp(-z))     with cap (bounded entropy),
+
+with z = a + b * tokens / mean tokens, so no cap is ever exceeded.  The second
+constraint keeps the tilt from filling a goal with the longest or shortest
+documents alone; equal rates meet both, so every goal within the cap has a
+solution.  The prior is 1 over the number of exact copies of a text: copies
+together count once.  Newton's method solves the dual; each step is one
+aggregation over the (source, copies, tokens) histogram for all plans at once.
+
+Rates become whole copies from the longest document to the shortest, carrying on
+the tokens that rounding has left over, so that the tokens reached differ from
+the goal by about half the shortest document.
 """
 
 from __future__ import annotations
@@ -27,16 +35,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomline.operators.forest import prefix_offsets
 from loomline.runtime import Spool
 
 #: Plans are driver-side parameters; a larger table of targets is refused.
 MOST_TARGETS = 100_000
-#: Rates are summed as whole billionths, so that sums do not depend on order.
+#: Rates are rounded to whole billionths, so that copies do not depend on the order of sums.
 UNIT = 1_000_000_000
-#: Newton stops when every source is this close to its tokens, relatively.
-TOLERANCE = 1e-9
-MOST_STEPS = 60
+#: Newton stops when every constraint is met this closely, relatively; it is an error if that many steps do not suffice.
+TOLERANCE = 1e-7
+MOST_STEPS = 200
+#: Documents of a source that are rounded together, in one task.
+TOGETHER = 100_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -103,49 +112,85 @@ def fill(targets: list[dict], available: dict[str, int], corpus: int) -> list[di
     return out
 
 
-def tilted(prior, cap, multiplier):
-    """The rate as a column, without and with cap."""
-    bounded = cap / (1 + (cap / F.least(prior, cap * F.lit(0.5)) - 1) * F.exp(-multiplier))
-    return F.when(cap.isNull(), prior * F.exp(multiplier)).otherwise(bounded)
-
-
 def solve(histogram: DataFrame, goals: list[dict]) -> list[dict]:
-    """The multiplier of every (plan, source), by Newton steps on the dual.
+    """The multipliers ``a`` and ``b`` of every (plan, source), by damped Newton steps on the dual.
 
-    histogram: ``source``, ``copies``, ``tokens``.  A source drawn up to its cap
-    needs no multiplier: its documents all get the cap.
+    histogram: ``source``, ``copies``, ``n_tokens``, ``docs``.  A source drawn up
+    to its cap needs no multiplier: its documents all get the cap.  A step that
+    does not lower the dual is halved.
     """
     spark = histogram.sparkSession
-    open_goals = {(g["plan_id"], g["source"]): g for g in goals if g["goal"] and g["goal"] < g["limit"]}
-    state = {k: 0.0 for k in open_goals}
-    bracket = {k: [-60.0, 60.0] for k in open_goals}
-    schema = "plan_id string, source string, cap double, multiplier double"
-    for _ in range(MOST_STEPS if state else 0):
-        rows = [(p, s, None if open_goals[p, s]["max_repeats"] is None else float(open_goals[p, s]["max_repeats"]), m) for (p, s), m in state.items()]
-        now = spark.createDataFrame(rows, schema)
-        rate = tilted(1.0 / F.col("copies"), F.col("cap"), F.col("multiplier"))
-        slope = F.when(F.col("cap").isNull(), F.col("rate")).otherwise(F.col("rate") * (1 - F.col("rate") / F.col("cap")))
-        sums = (
-            histogram.join(F.broadcast(now), "source").withColumn("rate", rate)
-            .groupBy("plan_id", "source").agg(F.sum(F.col("rate") * F.col("tokens")).alias("value"), F.sum(slope * F.col("tokens")).alias("slope")).collect()
-        )
-        worst = 0.0
-        for r in sums:
-            k = r["plan_id"], r["source"]
-            gap = r["value"] - open_goals[k]["goal"]
-            worst = max(worst, abs(gap) / open_goals[k]["goal"])
-            bracket[k][gap > 0] = state[k]
-            step = state[k] - gap / r["slope"] if r["slope"] else math.nan
-            state[k] = step if bracket[k][0] < step < bracket[k][1] else sum(bracket[k]) / 2
-        if worst < TOLERANCE:
+    open_goals = {(g["plan_id"], g["source"]): g for g in goals if g["goal"] and g["goal"] < g["limit"] * (1 - 1e-9)}
+    state = {k: (math.log(g["goal"] / g["tokens"]), 0.0) for k, g in open_goals.items()}
+    before: dict = {}
+    schema = "plan_id string, source string, cap double, mean double, a double, b double"
+    q, cap, x, z, r = F.lit(1.0) / F.col("copies"), F.col("cap"), F.col("n_tokens") / F.col("mean"), F.col("z"), F.col("r")
+    odds = F.exp(z) / (cap / F.least(q, cap * F.lit(0.5)) - 1)
+    rate = F.when(cap.isNull(), q * F.exp(z)).otherwise(cap * odds / (1 + odds))
+    potential = F.when(cap.isNull(), r).otherwise(cap * F.log1p(odds))
+    slope = F.when(cap.isNull(), r).otherwise(r * (1 - r / cap)) * F.col("docs")
+    left = set(state)
+    for _ in range(MOST_STEPS):
+        if not left:
             break
-    return [g | {"multiplier": state.get((g["plan_id"], g["source"]))} for g in goals]
+        rows = [(*k, None if open_goals[k]["max_repeats"] is None else float(open_goals[k]["max_repeats"]), open_goals[k]["mean"], *state[k]) for k in left]
+        at = histogram.join(F.broadcast(spark.createDataFrame(rows, schema)), "source").withColumn("z", F.col("a") + F.col("b") * x).withColumn("r", rate)
+        sums = at.groupBy("plan_id", "source").agg(
+            F.sum(potential * F.col("docs")).alias("p"), F.sum(r * F.col("docs")).alias("g0"), F.sum(r * x * F.col("docs")).alias("g1"),
+            F.sum(slope).alias("h0"), F.sum(slope * x).alias("h1"), F.sum(slope * x * x).alias("h2"),
+        ).collect()
+        for s in sums:
+            k = s["plan_id"], s["source"]
+            want = open_goals[k]["goal"] / open_goals[k]["mean"]
+            a, b = state[k]
+            dual = s["p"] - want * (a + b)
+            miss = np.array([s["g0"] - want, s["g1"] - want])
+            if np.abs(miss).max() <= TOLERANCE * want:
+                left.discard(k)
+                continue
+            if k in before and not dual <= before[k][2] + 1e-12 * abs(before[k][2]):  # too far: half way back
+                state[k] = (a + before[k][0]) / 2, (b + before[k][1]) / 2
+                continue
+            move = np.linalg.lstsq(np.array([[s["h0"], s["h1"]], [s["h1"], s["h2"]]]), miss, rcond=1e-12)[0]
+            move *= min(1.0, 4.0 / max(1e-9, np.abs(move).max()))
+            before[k] = a, b, dual
+            state[k] = a - float(move[0]), b - float(move[1])
+    if left:
+        raise ArithmeticError(f"the rates of {sorted(left)[:3]} did not settle in {MOST_STEPS} steps")
+    return [g | dict(zip("ab", state.get((g["plan_id"], g["source"]), (None, None)), strict=True)) for g in goals]
+
+
+def rates(goal: dict, tokens: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """The rate of each document of a source, in billionths."""
+    most = goal["max_repeats"]
+    if goal["a"] is None:
+        return np.full(len(tokens), int(most) * UNIT if most is not None else 0, dtype=np.int64)
+    z, prior = goal["a"] + goal["b"] * tokens / goal["mean"], 1.0 / copies
+    if most is None:
+        return np.rint(prior * np.exp(z) * UNIT).astype(np.int64)
+    odds = np.exp(z) / (most / np.minimum(prior, most * 0.5) - 1)
+    return np.rint(most * odds / (1 + odds) * UNIT).astype(np.int64)
+
+
+def rounded(tokens: np.ndarray, rate: np.ndarray, most: int | None) -> np.ndarray:
+    """Whole copies of documents in descending order of tokens: what one leaves over or takes too much, the next make up for."""
+    out, carry = np.zeros(len(tokens), dtype=np.int64), 0
+    for k, (n, r) in enumerate(zip(tokens.tolist(), rate.tolist(), strict=True)):
+        if n:
+            carry += n * r
+            c = max(0, (2 * carry + n * UNIT) // (2 * n * UNIT))
+        else:
+            c = (2 * r + UNIT) // (2 * UNIT)
+        c = c if most is None else min(c, most)
+        carry -= c * n * UNIT
+        out[k] = c
+    return out
 
 
 def plan_rows(targets: DataFrame) -> list[dict]:
-    """The targets with uniform source names; nulls in plan, source or share are no targets; a source named twice adds up."""
+    """The targets with uniform source names; nulls in plan, source or share are no targets; a source named twice adds up, and its least cap holds."""
     kept = targets.filter("plan_id is not null and source is not null and target_share > 0").groupBy("plan_id", same_source("source").alias("source"))
-    rows = kept.agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"), F.max(F.coalesce("size_factor", F.lit(1.0))).alias("size_factor")).limit(MOST_TARGETS + 1).collect()
+    rows = kept.agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"), F.max(F.coalesce("size_factor", F.lit(1.0))).alias("size_factor")).limit(MOST_TARGETS + 1).collect()
     if len(rows) > MOST_TARGETS:
         raise ValueError(f"more than {MOST_TARGETS} targets")
     return [r.asDict() for r in rows]
@@ -155,42 +200,51 @@ class Mix:
     """The solved mix: ``copies`` (one row per drawn document and plan) and ``shares`` (one row per target)."""
 
     def __init__(self, documents: DataFrame, targets: DataFrame, vocabulary: str | None = None):
-        spark = documents.sparkSession
+        self.spark = documents.sparkSession
         counted = Spool(token_counts(documents, vocabulary or tokenizer_path()), "tokens").df
         copies = counted.groupBy("text_hash").agg(F.count("*").alias("copies")).filter("copies > 1")
         known = counted.join(copies, "text_hash", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
         self.docs = Spool(known.select("doc_id", "source", "n_tokens", "copies"), "sized").df
-        histogram = Spool(self.docs.groupBy("source", "copies").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs")), "hist").df
-        sums = histogram.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+        histogram = Spool(self.docs.groupBy("source", "copies", "n_tokens").agg(F.count("*").alias("docs")), "hist").df
+        sums = histogram.groupBy("source").agg(F.sum(F.col("docs") * F.col("n_tokens")).alias("tokens"), F.sum("docs").alias("docs"))
         corpus = sums.agg(F.sum("tokens")).first()[0] or 0
         rows = plan_rows(targets)
         named = sorted({r["source"] for r in rows})
-        available = {r["source"]: r["tokens"] for r in sums.filter(F.col("source").isin(named)).collect()} if named else {}
-        self.goals = solve(histogram, fill(rows, available, corpus))
-        self.table = spark.createDataFrame(
-            [
-                (g["plan_id"], g["source"], g["target_share"], g["share"], None if g["max_repeats"] is None else float(g["max_repeats"]), g["multiplier"], float(g["goal"] or 0.0), int(available.get(g["source"], 0)))
-                for g in self.goals
-            ],
-            "plan_id string, source string, target_share double, share double, cap double, multiplier double, goal double, available long",
+        held = {r["source"]: r for r in sums.filter(F.col("source").isin(named)).collect()} if named else {}
+        goals = fill(rows, {s: r["tokens"] for s, r in held.items()}, corpus)
+        for g in goals:
+            r = held.get(g["source"])
+            g |= {"tokens": r["tokens"] if r else 0, "docs": r["docs"] if r else 0}
+            g["mean"] = g["tokens"] / g["docs"] if g["docs"] else 0.0
+        self.goals = solve(histogram, goals)
+        self.table = self.spark.createDataFrame(
+            [(g["plan_id"], g["source"], g["target_share"], g["share"], g["max_repeats"], float(g["goal"] or 0.0), float(g["limit"]), int(g["tokens"]), g["a"] is None) for g in self.goals],
+            "plan_id string, source string, target_share double, share double, max_repeats long, goal double, limit double, available long, at_limit boolean",
         )
 
     def copies(self) -> DataFrame:
-        """``plan_id``, ``source``, ``doc_id``, ``n_tokens``, ``copies``: every document drawn at least once."""
-        drawn = self.table.filter("goal > 0")
-        prior = 1.0 / F.col("copies")
-        rate = F.when(F.col("multiplier").isNull(), F.col("cap")).otherwise(tilted(prior, F.col("cap"), F.col("multiplier")))
-        rated = self.docs.join(F.broadcast(drawn.select("plan_id", "source", "cap", "multiplier")), "source").select(
-            "plan_id", "source", "doc_id", "n_tokens", F.round(rate * UNIT).cast("long").alias("rate"), F.struct("plan_id", "source", "n_tokens").alias("same_size")
-        )
-        sizes = rated.groupBy("same_size").agg(F.sum("rate").alias("sum"))
-        before = sizes.select(
-            F.col("same_size").alias("_size"),
-            F.coalesce(F.sum("sum").over(Window.partitionBy("same_size.plan_id", "same_size.source").orderBy("same_size.n_tokens").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_smaller"),
-        )
-        placed = prefix_offsets(rated, "same_size", [F.col("doc_id"), F.col("rate")], "rate", "doc_id").join(before, F.col("same_size") == F.col("_size"))
-        exact = F.expr(f"(_smaller + offset + {UNIT // 2} + rate) div {UNIT} - (_smaller + offset + {UNIT // 2}) div {UNIT}")
-        return placed.withColumn("copies", exact.cast("long")).filter("copies > 0").select("plan_id", "source", "doc_id", "n_tokens", "copies")
+        """``plan_id``, ``source``, ``doc_id``, ``n_tokens``, ``copies``: every document drawn at least once.
+
+        The documents of a source are spread over parts of about ``TOGETHER``,
+        each rounded in one task for all plans.
+        """
+        drawn: dict[str, list[dict]] = {}
+        for g in self.goals:
+            if g["goal"]:
+                drawn.setdefault(g["source"], []).append(g)
+        parts = self.spark.createDataFrame([(s, max(1, round(g[0]["docs"] / TOGETHER))) for s, g in drawn.items()], "source string, parts int")
+        schema = "plan_id string, source string, doc_id long, n_tokens long, copies long"
+
+        def draw(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["n_tokens", "doc_id"], ascending=[False, True])
+            tokens, copies, out = rows["n_tokens"].to_numpy(), rows["copies"].to_numpy(), []
+            for g in drawn[rows["source"].iloc[0]]:
+                taken = rounded(tokens, rates(g, tokens, copies), g["max_repeats"])
+                out.append(rows[["source", "doc_id", "n_tokens"]].assign(plan_id=g["plan_id"], copies=taken)[taken > 0])
+            return pd.concat(out)[["plan_id", "source", "doc_id", "n_tokens", "copies"]]
+
+        placed = self.docs.join(F.broadcast(parts), "source").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+        return placed.select("source", "part", "doc_id", "n_tokens", "copies").groupBy("source", "part").applyInPandas(draw, schema)
 
     def shares(self) -> DataFrame:
         """Target and reached share of every source of every plan, in tokens."""
@@ -202,8 +256,20 @@ class Mix:
         share = F.when(F.sum("tokens").over(whole) > 0, F.col("tokens") / F.sum("tokens").over(whole)).otherwise(0.0)
         return found.select(
             "plan_id", "source", "target_share", F.col("available").alias("source_tokens"), F.round("goal").cast("long").alias("goal_tokens"), "tokens",
-            F.round(share, 6).alias("actual_share"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
-            F.col("multiplier").isNull().alias("at_limit"),
+            F.round(share, 6).alias("actual_share"), F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), "at_limit",
+        )
+
+    def checks(self, near: float = 0.01) -> DataFrame:
+        """Per target whether its cap was kept and its goal met to ``near``: one row per target, for testing a mix.
+
+        A source drawn up to its cap must give all its tokens that often; one
+        without documents gives none.
+        """
+        got = self.shares().join(self.table.select("plan_id", "source", "max_repeats", "limit", "share"), ["plan_id", "source"])
+        return got.select(
+            "plan_id", "source", F.round("share", 6).alias("wanted_share"), (F.col("max_repeats").isNull() | (F.col("most_copies") <= F.col("max_repeats"))).alias("cap_kept"),
+            F.when(F.col("at_limit"), F.col("tokens") == F.col("goal_tokens")).otherwise(F.abs(F.col("tokens") - F.col("goal_tokens")) <= F.col("goal_tokens") * near).alias("goal_met"),
+            (F.col("source_tokens") > 0).alias("has_documents"),
         )
 
 
@@ -221,3 +287,8 @@ def mix(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None)
 def shares(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """The shares reached by ``mix``."""
     return Mix(documents, targets, vocabulary).shares()
+
+
+def checks(documents: DataFrame, targets: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """Whether ``mix`` kept every cap and met every goal."""
+    return Mix(documents, targets, vocabulary).checks()

@@ -138,12 +138,25 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
 
 
-@query(LEAK_SQL + "SELECT item_id, task, coalesce(n, 0) AS leaking_docs FROM eval_items LEFT JOIN (SELECT item_id, count(*) AS n FROM hits GROUP BY ALL) USING (item_id)")
+@query(LEAK_SQL + "SELECT item_id, task, CASE WHEN len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) >= 15 THEN coalesce(n, 0) END AS leaking_docs FROM eval_items LEFT JOIN (SELECT item_id, count(*) AS n FROM hits GROUP BY ALL) USING (item_id)")
 def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every test item with the number of documents that leak it."""
     return leakage.leak_report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
 
 
+@query(
+    LEAK_SQL
+    + r""", parts AS (SELECT item_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS n, len(regexp_extract_all(lower(split_part(text, chr(10) || 'Answer:', 1)), '[\p{L}\p{N}]+')) AS q, contains(text, chr(10) || 'Answer:') AS has FROM eval_items),
+placed AS (SELECT item_id, k, array_to_string(w[k : k + 14], ' ') AS run FROM (
+  SELECT item_id, w, unnest(range(1, len(w) - 13)) AS k FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM eval_items))),
+covered AS (SELECT DISTINCT doc_id, item_id, unnest(range(k, k + 15)) AS place FROM d JOIN placed USING (run))
+SELECT doc_id, item_id, count(*) FILTER (place <= q) AS question_words, count(*) FILTER (has AND place > q + 1) AS answer_words, count(*) = any_value(n) AS whole FROM covered JOIN parts USING (item_id) GROUP BY ALL"""
+)
+def p6_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of question and answer each leaking document holds in runs of 15 words."""
+    return leakage.overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
+
+
 @query()
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents of every mixing plan with their copies."""
@@ -156,6 +169,17 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))
 
 
+@query(
+    """WITH t AS (SELECT plan_id, regexp_replace(lower(trim(source)), '[- ]+', '_', 'g') AS source, sum(target_share) AS share FROM mix_targets
+  WHERE plan_id IS NOT NULL AND source IS NOT NULL AND target_share > 0 GROUP BY ALL),
+d AS (SELECT DISTINCT regexp_replace(lower(trim(source)), '[- ]+', '_', 'g') AS source FROM documents WHERE text <> '')
+SELECT plan_id, source, round(share / sum(share) OVER (PARTITION BY plan_id), 6) AS wanted_share, true AS cap_kept, true AS goal_met, source IN (SELECT source FROM d WHERE source IS NOT NULL) AS has_documents FROM t"""
+)
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every target whether its cap was kept and its goal met to one percent, as must be."""
+    return mixing.checks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))
+
+
 @query()
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The English documents of level 4 or 5."""
