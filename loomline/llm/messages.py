@@ -33,16 +33,21 @@ def parse(message: str | None) -> dict | None:
     return found if isinstance(found, dict) else None
 
 
-def texts(message: dict) -> list[str]:
-    """The decoded texts of ``content``: the string itself, or every text block (or bare string) of the array."""
+def placed_texts(message: dict) -> list[tuple[int, str]]:
+    """The decoded texts of ``content`` with the number of their block: the string itself (0), or every text block (or bare string) of the array."""
     content = message.get("content")
     if isinstance(content, str):
-        return [content]
+        return [(0, content)]
     found = []
     if isinstance(content, list):
-        for block in content:
+        for k, block in enumerate(content):
             if isinstance(block, str):
-                found.append(block)
+                found.append((k, block))
             elif isinstance(block, dict) and block.get("type") == "text" and isinstance(block.get("text"), str):
-                found.append(block["text"])
+                found.append((k, block["text"]))
     return found
+
+
+def texts(message: dict) -> list[str]:
+    """As ``placed_texts``, the texts alone."""
+    return [t for _, t in placed_texts(message)]

@@ -8,6 +8,7 @@ the one with the higher score, then the longer, wins.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections import Counter
@@ -18,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.llm.messages import parse, texts
+from loomline.llm.messages import parse, placed_texts
 
 THRESHOLD = 0.5
 #: The list of known name parts is held by every task; a longer one is refused.
@@ -35,6 +36,7 @@ NOT_ID_WORDS = re.compile(r"(?i)\b(?:trace|run|ticket|build|span|offset|byte|com
 ADDRESS_WORDS = re.compile(r"(?i)(?:address|addr|lives at|ship|visitors|parcel|label|deliver|located|street)[^\n]{0,30}$")
 
 EMAIL_AT = re.compile(r"@|\[at\]|\(at\)", re.I)
+NO_ADDRESS_WORDS = re.compile(r"(?i)\b(?:sections?|rows?|lines?|pages?|steps?|items?|chapters?|ports?|versions?|top|first|last|next|batch|step|run|ticket|build)[ :=#]*$")
 EMAIL_LOCAL = re.compile(r"(?<![\w.%+/@-])([\w](?:[\w.%+-]*[\w+-])?)(\s?)$")
 EMAIL_DOMAIN = re.compile(r"( ?)([A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:(?:\.| ?[(\[]dot[)\]] ?)[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)*(?:\.| ?[(\[]dot[)\]] ?)[A-Za-z]{2,24})(?![\w@])", re.I)
 
@@ -43,7 +45,7 @@ PHONE = re.compile(
     r"\+\d{1,3}(?:[ .-]?\(\d{1,5}\))?(?:[ .-]?\d{1,14})(?:[ .-]\d{2,6}){0,4}"
     r"|\(\d{3,5}\)[ -]?\d{3,6}(?:[ .-]\d{3,6}){0,2}"
     r"|00[1-9]\d{0,2}(?:[ -](?:\(0\))?\d{1,6}){2,5}"
-    r"|\d{3}([-.])\d{3}\1\d{4}"
+    r"|\d{3}([-. ])\d{3}\1\d{4}"
     r"|0\d{2,4}[ /-]\d{3,8}(?:[ -]\d{3,6})?"
     r")(?: ?(?:x|ext\.?|extension) ?\d{1,6}\b)?(?![\w@-]|\.\d)",
     re.I,
@@ -57,11 +59,15 @@ ID_NUMBER = re.compile(
     r"|(?P<card2>[A-Z]{2}-\d{3,4}-\d{3,4})"
     r"|(?P<passport>[A-Z]{1,2}\d{6,8})"
     r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)"
-    r"|(?P<pan>\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7})"
+    r"|(?P<pan>\d{4}[ -]\d{6}[ -]\d{4,5}|\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7})"
     r"|(?P<other>(?:[A-Z]{1,3}-?)?\d[\dA-Z]*(?:[- ]\d[\dA-Z]*){0,4})"
     r")(?![\w@-]|\.\d)"
 )
 
+IBAN_LOWER = re.compile(r"(?<![\w.+@/-])[a-z]{2}\d{2}(?: ?[a-z0-9]{4}){2,7}(?: ?[a-z0-9]{1,4})?(?![\w@-]|\.\d)")
+#: The first digits of payment cards.  Fixed values.
+CARD_ISSUER = re.compile(r"4|5[1-5]|2[2-7]|3[0-9]|6(?:011|4|5)")
+
 # Endings of street names.
 STREET = r"(?:Street|St\.?|Road|Rd\.?|Avenue|Ave\.?|Lane|Ln\.?|Drive|Dr\.?|Court|Ct\.?|Terrace|Row|Way|Close|Boulevard|Blvd\.?|Place|Pl\.?|Square|Sq\.?|Crescent|Grove|Gardens|Hill|Walk|Mews)"
 CAP = r"[A-ZÀ-ÖØ-Þ][\w'’]*(?:-[A-ZÀ-ÖØ-Þ][\w'’]*)*"
@@ -70,6 +76,7 @@ POSTCODE = r"(?:[A-Z]{1,2}\d[A-Z\d]? \d[A-Z]{2}|\d{5}(?:-\d{4})?)"
 ADDRESS = re.compile(
     rf"(?<![\w.+@/-])\d{{1,5}}[A-Za-z]? (?:(?:[NSEW]\.?|North|South|East|West) )?(?:{CAP} ){{1,2}}{STREET}"
     rf"(?:,? (?:(?:Apt|Unit|Suite|Ste|Flat|Apartment|Floor)\.? ?#?\w+|#\w+))?(?P<town>,[ \n]{TOWN}(?:,? (?P<code>{POSTCODE}))?)?(?![\w@-])"
+    rf"|(?<![\w.+@/-])\d{{1,4}}(?: ?(?:bis|ter))?,? (?i:rue|avenue|boulevard|place|chemin|quai|allée|impasse|cours) (?:de |du |des |la |le |les |l['’]|d['’])*{CAP}(?:[ -](?:de |du |des |la |le |les )*{CAP}){{0,3}}(?P<town3>,[ \n](?P<code3>\d{{5}}) {TOWN})?(?![\w@-])"
     rf"|(?<![\w-])[A-ZÄÖÜ]\w+(?:stra(?:ß|ss)e|str\.|weg|gasse|allee|platz|zeile|pfad|ring|damm|ufer|hof|steig) \d{{1,4}} ?[a-z]?(?P<town2>, (?P<code2>\d{{5}}) {TOWN})(?![\w@-])"
 )
 
@@ -177,7 +184,7 @@ def phones(text: str) -> Iterator[Span]:
         if not 9 <= len(digits) <= 16:
             continue
         before = text[max(0, m.start() - 40) : m.start()]
-        score = 0.6
+        score = 0.3 if m[1] == " " else 0.6  # ten digits in plain groups need a word that speaks for a phone
         if PHONE_WORDS.search(before):
             score += 0.3
         if ID_WORDS.search(before) or NOT_ID_WORDS.search(before):
@@ -193,6 +200,8 @@ def id_numbers(text: str) -> Iterator[Span]:
         labelled = bool(ID_WORDS.search(before))
         bare = re.sub(r"[ -]", "", m[0])
         score = {"ssn": 0.5, "nino": 0.55, "card2": 0.3, "tax": 0.1, "passport": 0.1}.get(kind, 0.0)
+        if kind == "ssn" and (bare.startswith("000") or bare[3:5] == "00" or bare.endswith("0000")):
+            continue  # never given out
         if kind == "ssn" and m[0][3] == " ":
             score = 0.3
         if kind == "tax" and mod11_10(bare):
@@ -200,7 +209,8 @@ def id_numbers(text: str) -> Iterator[Span]:
         if kind == "iban":
             score = 0.9 if mod97(bare) else 0.0
         if kind == "pan":
-            score = 0.5 if luhn(bare) and CARD_WORDS.search(before) else 0.0
+            known = CARD_ISSUER.match(bare) and len(bare) <= 19 and luhn(bare)
+            score = (0.7 if m[0] != bare else 0.55) * bool(known) + 0.2 * bool(known and CARD_WORDS.search(before))
         if labelled:
             score += 0.45 if sum(map(str.isdigit, bare)) >= 5 else 0.0
             if kind == "other":
@@ -208,14 +218,20 @@ def id_numbers(text: str) -> Iterator[Span]:
         elif NOT_ID_WORDS.search(before):
             score -= 0.4
         yield m.start(), m.end(), "id_number", score
+    for m in IBAN_LOWER.finditer(text):
+        if mod97(m[0].replace(" ", "").upper()):
+            yield m.start(), m.end(), "id_number", 0.8
 
 
 def addresses(text: str) -> Iterator[Span]:
     """From house number or street to town or postcode."""
     for m in ADDRESS.finditer(text):
-        score = 0.35 + 0.2 * bool(m["town"] or m["town2"]) + 0.3 * bool(m["code"] or m["code2"])
-        if ADDRESS_WORDS.search(text[max(0, m.start() - 40) : m.start()]):
+        before = text[max(0, m.start() - 40) : m.start()]
+        score = 0.5 + 0.2 * bool(m["town"] or m["town2"] or m["town3"]) + 0.3 * bool(m["code"] or m["code2"] or m["code3"])
+        if ADDRESS_WORDS.search(before):
             score += 0.2
+        elif NO_ADDRESS_WORDS.search(before):
+            score -= 0.3
         yield m.start(), m.end(), "address", score
 
 
@@ -283,16 +299,22 @@ def load_names(parts: DataFrame) -> Names:
     return Names.learn([(r[0], r[1]) for r in rows])
 
 
-def _over(entries: DataFrame, schema: str, make: Callable[[str, str, str], Iterator[dict]]) -> DataFrame:
+#: One text of an entry: its field (``content`` or ``summary``) and the block of the content, 0 where that is a string.
+PLACED = "source_id string, entry_id string, field string, block int"
+
+
+def _over(entries: DataFrame, parts: DataFrame, schema: str, make: Callable[[tuple, str, Names], Iterator[tuple]]) -> DataFrame:
+    known = entries.sparkSession.sparkContext.broadcast(load_names(parts))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for source, entry, message, summary in zip(batch["source_id"], batch["entry_id"], batch["message"], batch["summary"], strict=True):
                 if isinstance(summary, str):
-                    rows += make(source, entry, summary)
+                    rows += make((source, entry, "summary", 0), summary, known.value)
                 if isinstance(message, str) and (found := parse(message)) is not None:
-                    for text in texts(found):
-                        rows += make(source, entry, text)
+                    for block, text in placed_texts(found):
+                        rows += make((source, entry, "content", block), text, known.value)
             yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     columns = [c.split()[0] for c in schema.split(", ")]
@@ -308,24 +330,56 @@ def found(entries: DataFrame, parts: DataFrame) -> DataFrame:
     row; repeated lines and repeated pieces give one row; an empty table gives
     an empty result; other columns are ignored.
     """
-    known = load_names(parts)
 
-    def rows(source: str, entry: str, text: str) -> Iterator[tuple]:
-        return ((source, entry, kind, text[a:b]) for a, b, kind, _ in find(text, known))
+    def rows(place: tuple, text: str, known: Names) -> Iterator[tuple]:
+        return ((*place[:2], kind, text[a:b]) for a, b, kind, _ in find(text, known))
 
-    return _over(entries, "source_id string, entry_id string, pii_type string, pii_text string", rows).distinct()
+    return _over(entries, parts, "source_id string, entry_id string, pii_type string, pii_text string", rows).distinct()
 
 
 def redacted(entries: DataFrame, parts: DataFrame) -> DataFrame:
-    """One row per text that holds personal information: the text with placeholders and the number replaced.
+    """Every text with placeholders: ``PLACED``, ``redacted_text`` and ``replaced``, the number of pieces (0 in a clean text).
 
-    Texts without any are left out; repeated lines are kept once.
+    Distinct rows, so repeated lines count once; cases as in ``found``.
     """
-    known = load_names(parts)
 
-    def rows(source: str, entry: str, text: str) -> Iterator[tuple]:
-        spans = find(text, known)
-        if spans:
-            yield source, entry, redact(text, known), len(spans)
+    def rows(place: tuple, text: str, known: Names) -> Iterator[tuple]:
+        yield *place, redact(text, known), len(find(text, known))
 
-    return _over(entries, "source_id string, entry_id string, redacted_text string, replaced long", rows).distinct()
+    return _over(entries, parts, f"{PLACED}, redacted_text string, replaced long", rows).distinct()
+
+
+def cleaned(entries: DataFrame, parts: DataFrame) -> DataFrame:
+    """The same rows and columns, ``message`` and ``summary`` with placeholders.
+
+    A message is written anew only where something was replaced; what can't be
+    parsed stays as it is.
+    """
+    known = entries.sparkSession.sparkContext.broadcast(load_names(parts))
+    kept = [c for c in entries.columns if c not in ("message", "summary")]
+
+    def message(text: object) -> object:
+        found = parse(text) if isinstance(text, str) else None
+        if found is None:
+            return text
+        new = {block: redact(t, known.value) for block, t in placed_texts(found)}
+        if all(new[block] == t for block, t in placed_texts(found)):
+            return text
+        if isinstance(found["content"], str):
+            found["content"] = new[0]
+        else:
+            for block, t in new.items():
+                if isinstance(found["content"][block], str):
+                    found["content"][block] = t
+                else:
+                    found["content"][block]["text"] = t
+        return json.dumps(found, ensure_ascii=False)
+
+    def run(columns: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for kinds, messages, summaries in columns:
+            short = [redact(s, known.value) if k == "compaction" and isinstance(s, str) else s for k, s in zip(kinds, summaries, strict=True)]
+            yield pd.DataFrame({"message": [message(m) for m in messages], "summary": short}, dtype=object)
+
+    both = F.pandas_udf(run, "message string, summary string", F.PandasUDFType.SCALAR_ITER)
+    made = entries.withColumn("_clean", both("entry_type", "message", "summary"))
+    return made.select(*(F.col(c) if c in kept else F.col(f"_clean.{c}").alias(c) for c in entries.columns))

@@ -31,10 +31,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The texts that held personal information, with typed placeholders."""
+    """Every text of messages and summaries, with typed placeholders, by its place."""
     return pii.redacted(read(spark, sf_dir, "session_entries"), read(spark, sf_dir, "name_parts"))
 
 
+@query()
+def p1_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries with messages and summaries free of personal information."""
+    return pii.cleaned(read(spark, sf_dir, "session_entries"), read(spark, sf_dir, "name_parts"))
+
+
 TALK_SQL = r"""
 WITH RECURSIVE e AS (
   SELECT source_id, entry_id, max_by(coalesce(parent_id, ''), line_index) AS parent_id, max(line_index) AS line_index, max_by(entry_type, line_index) AS entry_type,
@@ -186,6 +192,12 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reading.demanding(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_grades"))
 
 
+@query()
+def p8_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the reading levels with grades they were not fitted to."""
+    return reading.agreement(read(spark, sf_dir, "documents"), read(spark, sf_dir, "reading_grades"))
+
+
 @query()
 def p8_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English documents by source and reading level."""

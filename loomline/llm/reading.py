@@ -2,13 +2,12 @@
 
 grade = a + b * (share of unfamiliar words) + c * (words per sentence)
 
-The familiar words come from document frequencies over all English documents:
-a word is familiar if it stands in at least ``LEAST_SHARE`` of them and is no
-more frequent among the documents with longer sentences than among those with
-shorter ones.  (A plain frequency list fails here: in a technical corpus the
-words of demanding texts are frequent and those of easy texts are rare.)  The
-coefficients are fitted to the mean grades that people gave, by least squares
-over all graded documents; only sums of products reach the driver.
+The familiar words are a high-frequency list: those in at least ``LEAST_SHARE``
+of the documents with the shortest sentences, the first ``PLAIN_PART`` of the
+English corpus.  (Over the whole corpus a list by frequency fails where, as in
+technical text, the words of demanding documents are frequent and those of easy
+ones rare.)  The coefficients are fitted to the mean grades that people gave, by
+least squares over all graded documents; only sums of products reach the driver.
 """
 
 from __future__ import annotations
@@ -19,20 +18,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomline.runtime import Spool
 
-#: Share of the documents that a familiar word stands in at least.  It bounds the list: a mean of
-#: d distinct words a document allows at most d / LEAST_SHARE familiar words.
-LEAST_SHARE = 0.002
-#: Among documents with shorter and longer sentences, the part of the former in a familiar word's frequency.
-LEAST_EASY = 0.45
+#: The part of the documents, those of shortest sentences, whose words are counted, and the share of them that a
+#: familiar word stands in at least.  It bounds the list: a mean of d distinct words allows at most d / LEAST_SHARE.
+PLAIN_PART, LEAST_SHARE = 1 / 3, 0.05
 #: From this estimate upwards a document belongs to level 4 or 5.
 DEMANDING = 3.5
-#: Longer sentences count as this many words when documents are halved by sentence length.
-MOST_SENTENCE = 200
 
 WORD = re.compile(r"[^\W\d_]+")
 CODE = re.compile(r"(?ms)^[ \t]*(```|~~~).*?^[ \t]*\1[ \t]*$")
@@ -68,7 +63,7 @@ def word_counts(documents: DataFrame) -> DataFrame:
                 found = sentences(text)
                 if not found or not is_english(lang, found):
                     continue
-                length = min(MOST_SENTENCE, sum(map(len, found)) // len(found))
+                length = sum(map(len, found)) // len(found)
                 counts[None, length] += 1
                 counts.update((w, length) for w in {w for s in found for w in s})
             if len(counts) > 500_000:
@@ -83,21 +78,16 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return part.groupBy("word", "length").agg(F.sum("docs").alias("docs"))
 
 
-def familiar_words(documents: DataFrame, least_share: float = LEAST_SHARE, least_easy: float = LEAST_EASY) -> DataFrame:
-    """The familiar words (``word``), from document frequencies over all English documents."""
+def familiar_words(documents: DataFrame, least_share: float = LEAST_SHARE, plain_part: float = PLAIN_PART) -> DataFrame:
+    """The familiar words (``word``), from document frequencies over all English documents of short sentences."""
     counts = Spool(word_counts(documents), "words").df
-    lengths = sorted((r["length"], r["docs"]) for r in counts.filter("word is null").collect())  # at most MOST_SENTENCE + 1 rows
-    n = sum(docs for _, docs in lengths)
-    if not n:
+    by_length = counts.filter("word is null").select("length", "docs")  # one row per whole number of words
+    running = by_length.withColumn("upto", F.sum("docs").over(Window.orderBy("length"))).withColumn("all", F.sum("docs").over(Window.partitionBy()))
+    cut = running.filter(F.col("upto") >= F.col("all") * plain_part).agg(F.min_by(F.struct("length", "upto"), "length").alias("c")).first()["c"]
+    if cut is None:
         return counts.select("word").filter("false")
-    median = next(length for k, (length, _) in enumerate(lengths) if 2 * sum(docs for _, docs in lengths[: k + 1]) >= n)
-    easy = sum(docs for length, docs in lengths if length <= median)
-    hard = max(1, n - easy)
-    by_word = counts.filter("word is not null").groupBy("word").agg(
-        F.sum(F.when(F.col("length") <= median, F.col("docs")).otherwise(0)).alias("low"), F.sum("docs").alias("docs")
-    )
-    low = F.col("low") / easy
-    return by_word.filter((F.col("docs") >= least_share * n) & (low >= least_easy * (low + (F.col("docs") - F.col("low")) / hard))).select("word")
+    plain = counts.filter(F.col("word").isNotNull() & (F.col("length") <= cut["length"])).groupBy("word").agg(F.sum("docs").alias("docs"))
+    return plain.filter(F.col("docs") >= least_share * cut["upto"]).select("word")
 
 
 def features(documents: DataFrame, familiar: DataFrame) -> DataFrame:
@@ -161,3 +151,24 @@ def profile(documents: DataFrame, grades: DataFrame) -> DataFrame:
     names = documents.select("doc_id", kind).distinct()
     level = levels(documents, grades).select("doc_id", F.round("grade").cast("int").alias("level")).distinct()
     return level.join(names, "doc_id").groupBy("source", "level").agg(F.count("*").alias("docs"))
+
+
+def agreement(documents: DataFrame, grades: DataFrame, least: float = DEMANDING) -> DataFrame:
+    """How well the formula agrees with grades it was not fitted to: ``fold``, ``docs``, ``agreeing``, ``demanding``, ``found``.
+
+    Graded documents are halved by the hash of ``doc_id``; each half is judged by
+    coefficients fitted to the other.  ``demanding`` are those graded ``least``
+    or more on average, ``found`` those of them that the estimate finds.
+    """
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    held = Spool(features(documents, familiar_words(documents)), "reading").df
+    marks = grades.filter("grade is not null and doc_id is not null").groupBy("doc_id").agg(F.avg("grade").alias("y"))
+    out = []
+    for fold in (0, 1):
+        a, b, c = fit(held.filter(half != fold), grades)
+        judged = held.filter(half == fold).join(marks, "doc_id").select((F.lit(a) + F.lit(b) * F.col("unfamiliar") + F.lit(c) * F.col("sentence_words") >= least).alias("told"), (F.col("y") >= least).alias("is"))
+        out.append(judged.agg(
+            F.lit(fold).alias("fold"), F.count("*").alias("docs"), F.count_if(F.col("told") == F.col("is")).alias("agreeing"),
+            F.count_if("is").alias("demanding"), F.count_if(F.col("is") & F.col("told")).alias("found"),
+        ))
+    return out[0].unionByName(out[1])

@@ -43,6 +43,17 @@ def found(text):
         ("by Grace T. Fenbrand-Ashloway", [("name", "Grace T. Fenbrand-Ashloway")]),
         ("Will the Session Writer Mark it? Orla left.", []),
         ("orla.ashbrand@x.test", [("email", "orla.ashbrand@x.test")]),
+        ("pay with 4111 1111 1111 1111 today", [("id_number", "4111 1111 1111 1111")]),
+        ("pay with 4111 1111 1111 1112 today", []),
+        ("amex 3782 822463 10005 was declined", [("id_number", "3782 822463 10005")]),
+        ("trace 4111111111111111 ended", []),
+        ("call me at 415 555 0132", [("phone", "415 555 0132")]),
+        ("counts 415 555 0132", []),
+        ("to gb82 west 1234 5698 7654 32 please", [("id_number", "gb82 west 1234 5698 7654 32")]),
+        ("ref 000-00-0000 done", []),
+        ("he is at 10 Downing St all day", [("address", "10 Downing St")]),
+        ("rendezvous 12 Rue de la Paix, 75002 Paris", [("address", "12 Rue de la Paix, 75002 Paris")]),
+        ("see section 10 Downing St", []),
         ("", []),
     ],
 )
@@ -64,8 +75,16 @@ def test_pii_table(spark):
     parts = spark.createDataFrame([*PARTS, (None, None)], "part_text string, part_kind string")
     got = {tuple(r) for r in pii.found(spark.createDataFrame(rows, schema), parts).collect()}
     assert got == {("s", "1", "email", "a@b.test"), ("s", "2", "email", "a@b.test"), ("s", "2", "email", "c@d.test"), ("s", "4", "email", "e@f.test")}
-    texts = {r.redacted_text for r in pii.redacted(spark.createDataFrame(rows, schema), parts).collect()}
-    assert texts == {"mail [EMAIL]", "[EMAIL]", "to [EMAIL]"}
+    made = {tuple(r) for r in pii.redacted(spark.createDataFrame(rows, schema), parts).collect()}
+    assert made == {
+        ("s", "1", "content", 0, "mail [EMAIL]", 1), ("s", "2", "content", 0, "[EMAIL]", 1), ("s", "2", "content", 2, "[EMAIL]", 1),
+        ("s", "4", "summary", 0, "to [EMAIL]", 1), (None, None, "summary", 0, "", 0),
+    } - {(None, None, "summary", 0, "", 0)}
+    clean = pii.cleaned(spark.createDataFrame(rows, schema), parts)
+    assert clean.columns == schema.replace(",", "").split()[::2] and [r.message for r in clean.collect()] == [
+        '{"role": "user", "content": "mail [EMAIL]"}', '{"role": "user", "content": "mail [EMAIL]"}',
+        '{"role": "tool", "content": [{"type": "text", "text": "[EMAIL]"}, {"type": "x"}, "[EMAIL]"]}', '{"role":', None, None, '{"content":null}',
+    ]
     assert pii.found(spark.createDataFrame([], schema), parts).count() == 0
 
 
