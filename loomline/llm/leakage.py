@@ -30,12 +30,17 @@ from loomline.runtime import Spool
 
 RUN_WORDS = 15
 #: Items per block of the index.
-BLOCK = 8
+BLOCK = 2
 #: Words of test items in one index (about 12 bytes each in a task); each further index reads the documents once more.
 INDEX_WORDS = 10_000_000
 K1, B = 1.2, 0.75
+#: Words from one passage to the next: a passage holds that many runs, and the fewer the closer are its bounds.
+STRIDE = 8
 #: Passages looked at together, and list entries gathered at once, which bound the memory of a task.
 AT_ONCE, ENTRIES = 4_000, 2_000_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Up to this many blocks the lists of all words of a passage are walked.
+SHORT = 1_000
 #: Markup between words: tags and entities.
 MARKUP = re.compile(r"<[^<>\n]{1,200}>|&[a-zA-Z]{2,8};|&#\d{1,6};")
 #: What stands between the question and the answer of an item.
@@ -53,10 +58,16 @@ def found_at(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndar
     """The value of each key asked for, 0 where there is none (``keys`` sorted)."""
     if not len(keys):
         return np.zeros(len(asked), dtype=np.float32)
+    asked = asked.astype(keys.dtype)
     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
     return np.where(keys[at] == asked, values[at], np.float32(0))
 
 
+def narrow(keys: np.ndarray, most: int) -> np.ndarray:
+    """Keys in half the space where all of them, up to ``most``, fit."""
+    return keys.astype(np.int32) if most < 2**31 else keys
+
+
 class Index:
     """Inverted lists of the test items with block maxima, and exact run thresholds."""
 
@@ -92,19 +103,48 @@ class Index:
         self.block_lows = self.lows.reshape(-1, block).min(axis=1) if self.blocks else np.empty(0, dtype=np.float32)
         self.least = float(self.block_lows.min()) if self.blocks else np.inf
 
+        runs = [(j, np.arange(len(c) - run_words + 1), self.run_hashes(np.lib.stride_tricks.sliding_window_view(c, run_words))) for j, c in enumerate(self.codes)]
+        key = np.concatenate([h + np.array([j], dtype=np.uint64) * MIX for j, _, h in runs]) if runs else np.empty(0, dtype=np.uint64)
+        begin = np.concatenate([b for _, b, _ in runs]) if runs else np.empty(0, dtype=np.int64)
+        rise = np.argsort(key, kind="stable")
+        self.run_keys, self.run_begins = key[rise], begin[rise]
+
         order = np.lexsort((item, word))
         word, item, weight = word[order].astype(np.int64), item[order], weight[order]
-        self.keys, self.weights = word * (self.blocks * block) + item, weight  # the inverted lists, end to end
+        most = (len(df) + 2) * max(1, self.blocks * block)
+        self.keys, self.weights = narrow(word * (self.blocks * block) + item, most), weight  # the inverted lists, end to end
         at = word * self.blocks + item // block
         first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.empty(0, dtype=np.int64)
-        self.block_keys, self.block_max = at[first], np.maximum.reduceat(weight, first) if len(at) else weight
+        self.block_keys, self.block_max = narrow(at[first], most), np.maximum.reduceat(weight, first) if len(at) else weight
         bounds = np.searchsorted(self.block_keys, np.arange(len(df) + 2) * max(1, self.blocks))
         self.list_start, self.list_many = bounds[:-1], np.diff(bounds)
         self.most = np.zeros(len(df) + 1, dtype=np.float32)
         np.maximum.at(self.most, word, weight)
 
-    def retrieve(self, passages: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(passage, item position) of all passages whose score reaches the item's threshold.
+    @staticmethod
+    def run_hashes(runs: np.ndarray) -> np.ndarray:
+        """A hash of each row of word codes along the last axis."""
+        total = np.zeros(runs.shape[:-1], dtype=np.uint64)
+        for k in range(runs.shape[-1]):
+            total = (total ^ runs[..., k].astype(np.uint64)) * MIX
+            total ^= total >> np.uint64(32)
+        return total
+
+    def verify(self, passages: np.ndarray, p: np.ndarray, j: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(passage, item position, begin in the item) of every run that a retrieved pair shares, word by word."""
+        if not len(p):
+            return
+        mine = np.lib.stride_tricks.sliding_window_view(passages, self.run_words, axis=1)[p]
+        asked = self.run_hashes(mine) + j[:, None].astype(np.uint64) * MIX
+        first, last = np.searchsorted(self.run_keys, asked, "left"), np.searchsorted(self.run_keys, asked, "right")
+        for row, k in zip(*np.nonzero(last > first), strict=True):
+            for at in range(first[row, k], last[row, k]):
+                begin = self.run_begins[at]
+                if np.array_equal(mine[row, k], self.codes[j[row]][begin : begin + self.run_words]):
+                    yield int(p[row]), int(j[row]), int(begin)
+
+    def retrieve(self, passages: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(passages, item positions), some at a time, of all passages whose score reaches the item's threshold.
 
         passages: one row of word codes each, padded with the code of no word.
         """
@@ -116,36 +156,42 @@ class Index:
         alive = np.flatnonzero(alive)
         rise = np.argsort(upper, axis=1)
         distinct, sums = np.take_along_axis(distinct, rise, axis=1).astype(np.int64), np.cumsum(np.take_along_axis(upper, rise, axis=1), axis=1)
-        needed = sums >= self.least  # without all of these an item stays below every threshold
+        # Without all needed words an item stays below every threshold.  Where lists are short, walking all costs less than looking up the rest.
+        needed = (sums >= self.least) | (self.blocks <= SHORT)
         rest = np.where(needed, 0, sums).max(axis=1)
         sizes = np.where(needed, self.list_many[distinct], 0).sum(axis=1)
         part = np.cumsum(sizes) // ENTRIES
         for chunk in np.unique(part):
             mine = np.flatnonzero(part == chunk)
-            yield from self.score(alive[mine], distinct[mine], needed[mine], rest[mine])
+            yield self.score(alive[mine], distinct[mine], needed[mine], rest[mine])
 
-    def score(self, ids: np.ndarray, distinct: np.ndarray, needed: np.ndarray, rest: np.ndarray) -> Iterator[tuple[int, int]]:
+    def score(self, ids: np.ndarray, distinct: np.ndarray, needed: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The steps of ``retrieve`` for some passages: lists, block bounds, items."""
         row, column = np.nonzero(needed)
         code = distinct[row, column]
         place = stretches(self.list_start[code], self.list_many[code])
         key = np.repeat(row * self.blocks - code * self.blocks, self.list_many[code]) + self.block_keys[place]
-        met, at = np.unique(key, return_inverse=True)
-        bound = np.bincount(at, weights=self.block_max[place], minlength=len(met))
+        if len(distinct) * self.blocks <= ENTRIES:  # few enough blocks to add up in place
+            bound = np.bincount(key, weights=self.block_max[place], minlength=len(distinct) * self.blocks)
+            met = np.flatnonzero(bound)
+            bound = bound[met]
+        else:
+            met, at = np.unique(key, return_inverse=True)
+            bound = np.bincount(at, weights=self.block_max[place], minlength=len(met))
         row, block = np.divmod(met, max(1, self.blocks))
         keep = bound + rest[row] >= self.block_lows[block]
         row, block, bound = row[keep], block[keep], bound[keep]
-        others = np.where(needed[row], -1, distinct[row])
-        bound = bound + np.where(others >= 0, found_at(self.block_keys, self.block_max, others * self.blocks + block[:, None]), 0).sum(axis=1)
-        keep = bound >= self.block_lows[block] * (1 - 1e-5)
+        at, column = np.nonzero(~needed[row])
+        more = found_at(self.block_keys, self.block_max, distinct[row[at], column] * self.blocks + block[at])
+        keep = bound + np.bincount(at, weights=more, minlength=len(row)) >= self.block_lows[block] * (1 - 1e-5)
         row, block = row[keep], block[keep]
         item = (block[:, None] * self.block + np.arange(self.block)).ravel()
         row = np.repeat(row, self.block)
         total = np.zeros(len(row), dtype=np.float64)
         for k in range(distinct.shape[1]):
             total += found_at(self.keys, self.weights, distinct[row, k] * (self.blocks * self.block) + item)
-        for p, j in zip(ids[row[hit := total >= self.lows[item] * (1 - 1e-5)]], item[hit], strict=True):
-            yield int(p), int(j)
+        hit = total >= self.lows[item] * (1 - 1e-5)
+        return ids[row[hit]], item[hit]
 
     def leaks(self, texts: list[str]) -> dict[tuple[int, int], set[int]]:
         """(position of the text, position of an item): where the runs begin in the item that the text holds."""
@@ -167,16 +213,13 @@ class Index:
             if not held:
                 return
             passages = np.concatenate(held)
-            for p, j in self.retrieve(passages):
-                mine = np.lib.stride_tricks.sliding_window_view(passages[p], n)
-                theirs = np.lib.stride_tricks.sliding_window_view(self.codes[j], n)
-                same = (mine[:, None, :] == theirs[None, :, :]).all(axis=2).any(axis=0)
-                if same.any():
-                    found.setdefault((origin[p], j), set()).update(np.flatnonzero(same).tolist())
+            for some in self.retrieve(passages):
+                for p, j, begin in self.verify(passages, *some):
+                    found.setdefault((origin[p], j), set()).add(begin)
             held.clear()
             origin.clear()
 
-        span = np.arange(2 * n - 1)
+        span = np.arange(n - 1 + STRIDE)
         for k, text in texts:
             all_words = words(text)
             if len(all_words) < n:
@@ -188,7 +231,7 @@ class Index:
             for begin, end in zip(edges[::2], edges[1::2], strict=True):
                 if end - begin < n:
                     continue
-                at = np.arange(begin, end - n + 1, n)
+                at = np.arange(begin, end - n + 1, STRIDE)
                 held.append(np.where(at[:, None] + span < end, coded[at[:, None] + span], none))
                 origin += [k] * len(at)
                 if len(origin) >= AT_ONCE:
