@@ -73,6 +73,37 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
+def p2_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered log of changes of every stream."""
+    return schema_drift.changes(read(spark, sf_dir, "raw_records"))
+
+
+FIELDS_SQL = """
+WITH RECURSIVE r AS (SELECT stream_id, file_seq, file_name, record_kind, CAST(raw_text AS JSON) AS j FROM raw_records WHERE file_name IS NOT NULL AND json_valid(raw_text) AND json_type(raw_text) = 'OBJECT'),
+k AS (
+  SELECT stream_id, file_seq, file_name, record_kind, name AS field, json_extract(j, '$."' || name || '"') AS v FROM (SELECT *, unnest(json_keys(j)) AS name FROM r)
+  UNION ALL
+  SELECT stream_id, file_seq, file_name, record_kind, below || name, json_extract(o, '$."' || name || '"') FROM (
+    SELECT *, unnest(json_keys(o)) AS name FROM (
+      SELECT stream_id, file_seq, file_name, record_kind, field || CASE json_type(v) WHEN 'ARRAY' THEN '[].' ELSE '.' END AS below,
+        unnest(CASE json_type(v) WHEN 'OBJECT' THEN [v] ELSE list_filter(json_extract(v, '$[*]'), lambda x: json_type(x) = 'OBJECT') END) AS o
+      FROM k WHERE json_type(v) IN ('OBJECT', 'ARRAY')))),
+leaf AS (SELECT stream_id, file_seq, file_name, record_kind, field, json_type(v) = 'DOUBLE' AS wide,
+    CASE json_type(v) WHEN 'BOOLEAN' THEN 'boolean' WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS type FROM k
+  WHERE json_type(v) NOT IN ('NULL', 'OBJECT') AND NOT (json_type(v) = 'ARRAY' AND len(list_filter(json_extract(v, '$[*]'), lambda x: json_type(x) = 'OBJECT')) > 0)),
+file AS (SELECT stream_id, file_seq, file_name, field, max(record_kind) AS record_kind, CASE WHEN bool_or(type = 'string') OR (bool_or(type = 'array') AND count(DISTINCT type) > 1) THEN 'string'
+    WHEN bool_or(type = 'array') THEN 'array' WHEN bool_or(type = 'number') THEN 'number' ELSE 'boolean' END AS type, bool_or(wide) AS wide FROM leaf GROUP BY stream_id, file_seq, file_name, field),
+held AS (SELECT DISTINCT stream_id, file_seq, file_name, split_part(field, '[]', 1) AS field FROM file WHERE contains(field, '[]')),
+kept AS (SELECT f.* FROM file f LEFT JOIN held h ON f.stream_id IS NOT DISTINCT FROM h.stream_id AND f.file_seq IS NOT DISTINCT FROM h.file_seq AND f.file_name = h.file_name AND f.field = h.field
+  WHERE NOT (f.type = 'array' AND h.field IS NOT NULL))
+"""
+
+
+@query(
+    FIELDS_SQL
+    + """SELECT record_kind, field, CASE WHEN bool_or(type = 'string') OR (bool_or(type = 'array') AND count(DISTINCT type) > 1) THEN 'string' WHEN bool_or(type = 'array') THEN 'array'
+  WHEN bool_or(type = 'number') THEN CASE WHEN bool_or(wide) THEN 'double' ELSE 'long' END ELSE 'boolean' END AS type, count(*) AS files, count(DISTINCT type) AS types FROM kept GROUP BY record_kind, field"""
+)
 def p2_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The union schema of each record kind."""
     return schema_drift.fields(read(spark, sf_dir, "raw_records"))

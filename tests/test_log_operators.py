@@ -359,12 +359,37 @@ def test_schema_drift(spark):
     }
     assert schema_drift.drift(df.limit(0)).count() == 0
     types = {r.field: r.type for r in schema_drift.fields(df).collect()}
-    assert types["v"] == "string" and types["o.x"] == "number" and types["pinned"] == "boolean" and types["e"] == "array"
+    assert types["v"] == "string" and types["o.x"] == "long" and types["pinned"] == "boolean" and types["e"] == "array"
     table = schema_drift.unified(df, "header")
-    assert table.count() == 8 and dict(table.dtypes)["o.x"] == "double"
+    assert table.count() == 8 and dict(table.dtypes)["o.x"] == "bigint"
     assert {r["v"] for r in table.collect()} == {"3", "v3", None}
 
 
+def test_drift_of_sets_larger_than_a_profile(spark):
+    """Values beyond the profile decide a rename: by rows, with the same result as whole profiles."""
+    def lines(name, seq, field, begin):
+        return [(k, "s", name, seq, k, "header", None, '{"%s":"word %s","z":[%s]}' % (field, "abcdefghijklmnopqrstuvwxyz"[(begin + k) % 26] * 3, k)) for k in range(26)]
+
+    df = spark.createDataFrame([*lines("f1", 1, "alpha", 0), *lines("f2", 2, "omega", 5), *lines("f3", 3, "sigma", 9)], RAW)
+    want = {("f2", "alpha", "omega", "renamed"), ("f3", "omega", "sigma", "renamed")}
+    for kept in (2, 64):
+        assert {tuple(r) for r in schema_drift.drift(df, kept).collect()} == want
+    log = schema_drift.changes(df, 2).orderBy("file_seq", "change_no").collect()
+    assert [(r.stream_id, r.file_seq, r.change_no, r.change_kind) for r in log] == [("s", 2, 1, "renamed"), ("s", 3, 1, "renamed")]
+
+
+def test_one_file_name_in_two_streams(spark):
+    df = spark.createDataFrame([(k, s, f, n, 0, "header", None, t) for k, (s, f, n, t) in enumerate([("s", "f1", 1, '{"a":1}'), ("s", "f2", 2, '{"a":"x"}'), ("t", "f1", 1, '{"b":1}'), ("t", "f2", 2, '{"c":true}')])], RAW)
+    got = {(r.stream_id, r.old_field, r.new_field, r.change_kind) for r in schema_drift.changes(df).collect()}
+    assert got == {("s", "a", "a", "retyped"), ("t", "b", "", "removed"), ("t", "", "c", "added")}
+
+
+def test_long_numbers_stay_whole(spark):
+    df = spark.createDataFrame([(1, "s", "f", 1, 0, "header", None, '{"n":9007199254740993,"d":1}'), (2, "s", "f", 1, 1, "header", None, '{"n":true,"d":1.5}')], RAW)
+    table = schema_drift.unified(df, "header")
+    assert {(r["n"], r["d"]) for r in table.collect()} == {(9007199254740993, 1.0), (1, 1.5)}
+
+
 def test_type_lattice():
     kinds = [None, "boolean", "number", "string", "array"]
     for a in kinds:
