@@ -103,12 +103,13 @@ def loop_minimum(links: DataFrame) -> DataFrame:
 def split_by_size(df: DataFrame, key: str, most: int) -> tuple[DataFrame, DataFrame]:
     """Rows of keys with at most ``most`` rows, and the rest.
 
-    The list of larger keys has at most rows/most entries, which bounds the
-    broadcast.  Null keys form one group of their own.
+    The list of larger keys has at most rows/most entries; whether it is small
+    enough to be sent everywhere is left to Spark, which knows its size.  Null
+    keys form one group of their own.
     """
-    large = df.groupBy(F.col(key).alias("_key")).count().filter(F.col("count") > most).select("_key")
+    large = Spool(df.groupBy(F.col(key).alias("_key")).count().filter(F.col("count") > most).select("_key"), "large").df
     same = F.col(key).eqNullSafe(F.col("_key"))
-    return df.join(F.broadcast(large), same, "left_anti"), df.join(F.broadcast(large), same, "left_semi")
+    return df.join(large, same, "left_anti"), df.join(large, same, "left_semi")
 
 
 def prefix_offsets(df: DataFrame, group: str, order: list, value: str, salt: str, buckets: int = 1024) -> DataFrame:

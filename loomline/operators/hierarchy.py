@@ -269,23 +269,32 @@ def hierarchy(records: DataFrame, with_path: bool = True, local_rows: int = LOCA
     return solved
 
 
+def _wanted(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of the tree that are asked for; a null source is a source of its own."""
+    asked = wanted.select(F.col("source_id").alias("_ws"), F.col("entry_id").alias("_we")).distinct()
+    return tree.filter("node_depth >= 0").join(asked, F.col("source_id").eqNullSafe(F.col("_ws")) & (F.col("entry_id") == F.col("_we")), "left_semi")
+
+
 def expand_paths(tree: DataFrame, wanted: DataFrame) -> DataFrame:
     """One row per step of the paths of the wanted entries (``source_id``, ``entry_id``), root first.
 
     Joins path segments to chain positions; ``step`` counts from 0 at the root.
+    Entries on or below loops have no path and no row.
     """
-    start = tree.join(wanted.select("source_id", "entry_id").distinct(), ["source_id", "entry_id"], "left_semi").filter("path is not null")
-    part = start.select("source_id", "entry_id", F.posexplode("path").alias("_k", "_seg"))
-    chain = tree.select("source_id", "chain_id", "chain_pos", F.col("entry_id").alias("ancestor_id"), F.col("node_depth").alias("step"))
-    same = part.select("source_id", "entry_id", F.col("_seg.chain_id").alias("chain_id"), F.col("_seg.upto").alias("_upto"))
-    return same.join(chain, ["source_id", "chain_id"]).filter("chain_pos <= _upto").select("source_id", "entry_id", "ancestor_id", "step")
+    part = _wanted(tree, wanted).select("source_id", "entry_id", F.explode("path").alias("_seg"))
+    part = part.select("source_id", "entry_id", F.col("_seg.chain_id").alias("_chain"), F.col("_seg.upto").alias("_upto"))
+    chain = tree.select(F.col("source_id").alias("_cs"), "chain_id", "chain_pos", F.col("entry_id").alias("ancestor_id"), F.col("node_depth").alias("step"))
+    on_chain = F.col("source_id").eqNullSafe(F.col("_cs")) & (F.col("_chain") == F.col("chain_id")) & (F.col("chain_pos") <= F.col("_upto"))
+    return part.join(chain, on_chain).select("source_id", "entry_id", "ancestor_id", "step")
 
 
 def descendants(tree: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One row per (wanted entry, descendant): the pre-order interval of its subtree."""
-    top = tree.join(wanted.select("source_id", "entry_id").distinct(), ["source_id", "entry_id"], "left_semi").select(
-        "source_id", "root_id", "entry_id", F.col("pre_order").alias("_from"), "subtree_size"
-    )
-    below = tree.select("source_id", "root_id", F.col("entry_id").alias("descendant_id"), "pre_order")
-    inside = (F.col("pre_order") > F.col("_from")) & (F.col("pre_order") < F.col("_from") + F.col("subtree_size"))
-    return top.join(below, ["source_id", "root_id"]).filter(inside).select("source_id", "entry_id", "descendant_id")
+    """One row per (wanted entry, descendant): all entries whose path passes the wanted entry's chain at its place or below.
+
+    Joined by chain, so an entry meets only the entries wanted on the at most
+    log2(n) chains of its own path.  Entries on or below loops have no row.
+    """
+    top = _wanted(tree, wanted).select(F.col("source_id").alias("_ts"), F.col("entry_id").alias("_te"), F.col("chain_id").alias("_tc"), F.col("chain_pos").alias("_tp"))
+    below = tree.select("source_id", F.col("entry_id").alias("descendant_id"), F.explode("path").alias("_seg"))
+    passes = F.col("source_id").eqNullSafe(F.col("_ts")) & (F.col("_seg.chain_id") == F.col("_tc")) & (F.col("_seg.upto") >= F.col("_tp")) & (F.col("descendant_id") != F.col("_te"))
+    return below.join(top, passes).select("source_id", F.col("_te").alias("entry_id"), "descendant_id")

@@ -28,7 +28,7 @@ from loomline.runtime import Spool
 #: Values and shapes kept in the profile of a field: those of least hash, so that merging never depends on order.
 KEPT = 64
 #: Fields without a common content that still pass as one under two names need a score of this.
-SAME_CONTENT = 0.75
+SAME_CONTENT = 0.7
 NAME_WEIGHT = 0.4
 #: Parts of names that say nothing about the content.  Fixed values.
 GENERIC = frozenset({"count", "num", "number", "id", "key", "at", "of", "the", "value", "is", "has", "text", "name"})
@@ -190,10 +190,13 @@ def content_score(a: dict, b: dict, measure: Measure) -> float:
     """How far two fields hold the same content.
 
     The scale is such that, with the weight of names, the same content needs no
-    name in common (0.75 and more), content that neither speaks for nor against
-    needs a name that agrees (0.35 and more), and content that differs is none.
+    name in common (0.7 and more), content alike needs half a name (0.5), content
+    that neither speaks for nor against a whole one (0.35 and more), and another
+    type is no same content whatever the name.
     """
-    if a["type"] != b["type"] or a["type"] == "boolean":
+    if a["type"] != b["type"]:
+        return 0.0
+    if a["type"] == "boolean":
         return 0.4
     if a["type"] == "number":
         if measure("values") == (1, 1, 1):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.operators.hierarchy import hierarchy
+from loomline.operators.hierarchy import descendants, expand_paths, hierarchy
 from loomline.operators import schema_drift
 from loomline.runtime import read
 
@@ -53,10 +53,65 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy(read(spark, sf_dir, "timeline_records"), with_path=False).select("source_id", "entry_id", "root_id", "node_depth")
 
 
-@query()
+HEAVY_SQL = (
+    TREE_SQL
+    + """, anc AS (SELECT source_id, entry_id, parent_id AS up FROM n JOIN walk USING (source_id, entry_id) WHERE parent_id IS NOT NULL
+  UNION ALL SELECT a.source_id, a.entry_id, n.parent_id FROM anc a JOIN n ON n.source_id = a.source_id AND n.entry_id = a.up WHERE n.parent_id IS NOT NULL),
+sized AS (SELECT w.source_id, w.entry_id, n.parent_id, w.root_id, w.node_depth, 1 + coalesce(c.size, 0) AS size FROM walk w JOIN n USING (source_id, entry_id)
+  LEFT JOIN (SELECT source_id, up, count(*) AS size FROM anc GROUP BY ALL) c ON c.source_id = w.source_id AND c.up = w.entry_id),
+kids AS (SELECT *, row_number() OVER o = 1 AS heavy, 1 + coalesce(sum(size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS step
+  FROM sized WHERE parent_id IS NOT NULL WINDOW o AS (PARTITION BY source_id, parent_id ORDER BY size DESC, entry_id)),
+placed AS (
+  SELECT source_id, entry_id, entry_id AS chain_id, CAST(0 AS BIGINT) AS chain_pos, CAST(0 AS HUGEINT) AS pre_order, '' AS above FROM sized WHERE parent_id IS NULL
+  UNION ALL
+  SELECT k.source_id, k.entry_id, CASE WHEN heavy THEN p.chain_id ELSE k.entry_id END, CASE WHEN heavy THEN p.chain_pos + 1 ELSE 0 END, p.pre_order + k.step,
+    CASE WHEN heavy THEN p.above ELSE p.above || p.chain_id || ':' || p.chain_pos || '/' END
+  FROM placed p JOIN kids k ON k.source_id = p.source_id AND k.parent_id = p.entry_id)
+"""
+)
+
+
+@query(
+    HEAVY_SQL
+    + """SELECT source_id, entry_id, parent_id, root_id, node_depth, chain_id, chain_pos, size AS subtree_size, CAST(pre_order AS BIGINT) AS pre_order, above || chain_id || ':' || chain_pos AS path FROM sized JOIN placed USING (source_id, entry_id)
+UNION ALL SELECT source_id, entry_id, n.parent_id, loops.root_id, -1, NULL, NULL, NULL, NULL, NULL FROM loops JOIN n USING (source_id, entry_id)"""
+)
 def p4_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every entry with chain, subtree size, pre-order number and its path as chain segments."""
-    return hierarchy(read(spark, sf_dir, "timeline_records"))
+    """Every entry with chain, subtree size, pre-order number and its path as chain segments (``chain:last position`` joined by ``/``)."""
+    named = F.transform("path", lambda s: F.concat_ws(":", s["chain_id"], s["upto"].cast("string")))
+    return hierarchy(read(spark, sf_dir, "timeline_records")).withColumn("path", F.array_join(named, "/"))
+
+
+# The stated query set of both: entries whose line is divisible by 100, against all entries.
+ASKED_SQL = "SELECT source_id, entry_id FROM (SELECT source_id, entry_id, max(line_index) AS line FROM timeline_records WHERE entry_id <> '' GROUP BY ALL) WHERE line % 100 = 0"
+
+
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries whose line is divisible by 100."""
+    lines = read(spark, sf_dir, "timeline_records").filter("entry_id <> ''").groupBy("source_id", "entry_id").agg(F.max("line_index").alias("line"))
+    return lines.filter("line % 100 = 0").select("source_id", "entry_id")
+
+
+@query(
+    TREE_SQL
+    + f""", top AS (SELECT w.source_id, w.entry_id FROM walk w SEMI JOIN ({ASKED_SQL}) USING (source_id, entry_id)),
+down AS (SELECT source_id, entry_id, entry_id AS descendant_id FROM top UNION ALL SELECT d.source_id, d.entry_id, n.entry_id FROM down d JOIN n ON n.source_id = d.source_id AND n.parent_id = d.descendant_id)
+SELECT * FROM down WHERE entry_id <> descendant_id"""
+)
+def p4_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of every hundredth line of each source."""
+    return descendants(hierarchy(read(spark, sf_dir, "timeline_records")), asked(spark, sf_dir))
+
+
+@query(
+    TREE_SQL
+    + f""", up AS (SELECT w.source_id, w.entry_id, w.entry_id AS ancestor_id, w.node_depth AS step FROM walk w SEMI JOIN ({ASKED_SQL}) USING (source_id, entry_id)
+  UNION ALL SELECT u.source_id, u.entry_id, n.parent_id, u.step - 1 FROM up u JOIN n ON n.source_id = u.source_id AND n.entry_id = u.ancestor_id WHERE n.parent_id IS NOT NULL)
+SELECT * FROM up"""
+)
+def p4_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full path of every hundredth line of each source, one row per step."""
+    return expand_paths(hierarchy(read(spark, sf_dir, "timeline_records")), asked(spark, sf_dir))
 
 
 @query(TREE_SQL + "SELECT source_id, root_id AS loop_id, count(*) AS entries FROM found WHERE node_depth = -1 GROUP BY ALL")

@@ -10,6 +10,7 @@ later round replaces them.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -24,10 +25,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The shared folder: ``spark.checkpoint.dir``.
+
+    Only a session on one machine (``local``) may do without: it gets a
+    temporary folder.  On a cluster a folder that every executor sees is needed.
+    """
     global _own_root
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[[^\]]*\])?$", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if _own_root is None:
             _own_root = tempfile.mkdtemp(prefix="loomline-")
         root = f"file://{_own_root}"
@@ -50,13 +57,12 @@ class Spool:
 
     def drop(self) -> None:
         """Delete the files; safe to call twice and after the session ended."""
-        try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(self.path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:
-            pass
         atexit.unregister(self.drop)
+        context = self.spark.sparkContext
+        if context._jsc is None or context._jsc.sc().isStopped():
+            return
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def spool(df: DataFrame, label: str = "t") -> DataFrame:
