@@ -5,22 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.text import B0, B1, WS, trim_ws
+from loomline.functions.text import B0, B1, WS, iso_text, trim_ws, utf16_length
 
-BLOCKS = "array<struct<type:string,text:string,name:string>>"
+def distinct_entries(entries: DataFrame) -> DataFrame:
+    """One row per (source, entry), that of the greatest ``line_index``; rows without id are kept out.
 
+    Of several rows on that line the one of the greatest ``parent_id`` holds.
+    """
+    named = entries.filter("entry_id is not null and entry_id <> ''")
+    order = F.struct(F.coalesce(F.col("line_index").cast("long"), F.lit(-1)), F.coalesce("parent_id", F.lit("")))
+    last = named.groupBy("source_id", "entry_id").agg(F.max_by(F.struct(*(c for c in entries.columns if c not in ("source_id", "entry_id"))), order).alias("_last"))
+    return last.select(*(F.col(c) if c in ("source_id", "entry_id") else F.col(f"_last.{c}").alias(c) for c in entries.columns))
 
-def distinct_entries(entries: DataFrame) -> DataFrame:
-    """One row per (source, entry): lines delivered twice count once; rows without id are kept out."""
-    return entries.filter("entry_id is not null and entry_id <> ''").dropDuplicates(["source_id", "entry_id"])
+
+def as_blocks(v: Column) -> Column:
+    """Content (VARIANT) as an array of (``type``, ``text``, ``name``): a string is one text block, as is a bare string in an array."""
+    def block(x: Column) -> Column:
+        bare = F.schema_of_variant(x) == "STRING"
+        return F.struct(
+            F.when(bare, "text").otherwise(F.try_variant_get(x, "$.type", "string")).alias("type"),
+            F.when(bare, F.try_variant_get(x, "$", "string")).otherwise(F.try_variant_get(x, "$.text", "string")).alias("text"),
+            F.when(~bare, F.try_variant_get(x, "$.name", "string")).alias("name"),
+        )
+
+    is_string = F.schema_of_variant(v) == "STRING"
+    return F.when(is_string, F.array(block(v))).otherwise(F.transform(F.try_variant_get(v, "$", "array<variant>"), block))
+
+
+def block_texts(blocks: Column) -> Column:
+    """The texts of text blocks that are not empty."""
+    return F.coalesce(F.transform(F.filter(blocks, lambda b: (b["type"] == "text") & (b["text"] != "")), lambda b: b["text"]), F.array().cast("array<string>"))
 
 
 def with_message(entries: DataFrame) -> DataFrame:
     """Adds the parsed fields of ``message``: all null where it is no JSON object.
 
     ``role``, ``stop_reason``, ``tool_name``, ``is_error``, ``error_message``,
-    ``blocks``, ``texts`` (text blocks or the string, empty ones left out) and
-    ``text`` (joined by line ends and trimmed).
+    ``command``, ``output``, ``exit_code``, ``own_summary``, ``blocks``,
+    ``texts`` (text blocks or the string, empty ones left out) and ``text``
+    (joined by line ends and trimmed).
     """
     parsed = entries.withColumn("_v", F.try_parse_json("message"))
     parsed = parsed.withColumn("_v", F.when(F.schema_of_variant("_v").startswith("OBJECT"), F.col("_v")))
@@ -28,24 +51,64 @@ def with_message(entries: DataFrame) -> DataFrame:
     def get(path: str, kind: str = "string") -> Column:
         return F.try_variant_get(F.col("_v"), path, kind)
 
-    kind = F.schema_of_variant(F.variant_get(F.col("_v"), "$.content", "variant"))
-    is_string = kind == "STRING"
-    blocks = F.when(is_string, F.array(F.struct(F.lit("text").alias("type"), get("$.content").alias("text"), F.lit(None).cast("string").alias("name")))).otherwise(get("$.content", BLOCKS))
-    texts = F.transform(F.filter("blocks", lambda b: (b["type"] == "text") & (b["text"] != "")), lambda b: b["text"])
+    def only_string(path: str) -> Column:
+        return F.when(F.schema_of_variant(F.variant_get(F.col("_v"), path, "variant")) == "STRING", get(path))
+
     return (
         parsed.withColumn("role", get("$.role"))
         .withColumn("stop_reason", F.nullif(F.coalesce(get("$.stopReason"), get("$.stop_reason"), get("$.message.stopReason")), F.lit("")))
         .withColumn("tool_name", F.coalesce(get("$.toolName"), F.lit("")))
-        .withColumn("is_error", F.coalesce(get("$.isError", "boolean"), F.lit(False)))
+        .withColumn("is_error", F.coalesce(get("$.isError", "boolean"), F.lit(False)) | F.coalesce(get("$.error", "boolean"), F.lit(False)))
         .withColumn("error_message", get("$.errorMessage"))
+        .withColumn("command", only_string("$.command"))
+        .withColumn("output", only_string("$.output"))
+        .withColumn("exit_code", get("$.exitCode", "double"))
+        .withColumn("own_summary", only_string("$.summary"))
         .withColumn("message_time", F.coalesce(get("$.timestamp", "long").cast("string"), get("$.timestamp")))
-        .withColumn("blocks", blocks)
-        .withColumn("texts", F.coalesce(texts, F.array().cast("array<string>")))
+        .withColumn("blocks", as_blocks(F.variant_get(F.col("_v"), "$.content", "variant")))
+        .withColumn("texts", block_texts(F.col("blocks")))
         .withColumn("text", trim_ws(F.array_join("texts", "\n")))
         .drop("_v")
     )
 
 
+def shell_text() -> Column:
+    """The text of a shell execution: ``$ command`` and its output, either alone where the other is missing."""
+    said = F.coalesce("output", F.array_join("texts", "\n"))
+    call = F.concat(F.lit("$ "), F.col("command"))
+    return F.when(F.coalesce("command", F.lit("")) == "", said).when(said == "", call).otherwise(F.concat(call, F.lit("\n"), said))
+
+
+def shell_failed() -> Column:
+    """A shell execution that failed: by exit code, without one as any message."""
+    return F.coalesce(F.col("exit_code") != 0, is_failure())
+
+
+def custom_text(content: Column, display: Column, joined: bool = False) -> Column:
+    """Texts of the ``content`` (JSON text) of a custom message; ``joined``: one text of a displayed one, trimmed, empty else."""
+    v = F.try_parse_json(content)
+    if not joined:
+        return block_texts(as_blocks(v))
+    listed = F.filter(as_blocks(F.when(F.schema_of_variant(v).startswith("ARRAY"), v)), lambda b: b["type"] == "text")
+    return F.when(F.coalesce(display, F.lit(False)), trim_ws(F.array_join(block_texts(listed), "\n"))).otherwise("")
+
+
+def without_thinking(message: Column) -> Column:
+    """The message (JSON text) of an assistant without its thinking blocks; others as they are."""
+    v = F.try_parse_json(message)
+    blocks = F.try_variant_get(v, "$.content", "array<variant>")
+    is_thinking = lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == "thinking", F.lit(False))
+    fields = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: k != "content")
+    kept = F.to_json(F.map_concat(fields, F.create_map(F.lit("content"), F.parse_json(F.to_json(F.filter(blocks, lambda b: ~is_thinking(b)))))))
+    wanted = (F.try_variant_get(v, "$.role", "string") == "assistant") & F.exists(blocks, is_thinking)
+    return F.when(F.coalesce(wanted, F.lit(False)), kept).otherwise(message)
+
+
+def message_iso() -> Column:
+    """``message_time`` as ISO text: milliseconds as written by hosts, texts as they are."""
+    return F.coalesce(iso_text(F.expr("try_cast(message_time as long)")), F.nullif(F.col("message_time"), F.lit("")))
+
+
 def has_tool_call() -> Column:
     """Some block calls a tool."""
     return F.coalesce(F.exists("blocks", lambda b: b["type"].isin("toolCall", "tool_call")), F.lit(False))
@@ -105,13 +168,13 @@ def matches(x: Column, pattern: str) -> Column:
 
 def process_only(c: Column) -> Column:
     """Assistant text (compact, as all texts judged here: see ``compact_lower``) that acknowledges or narrates without any outcome."""
-    short = (F.length(c) <= 24) & matches(c, ACKNOWLEDGED)
-    return (c == "") | short | (~matches(c, OUTCOME) & (F.length(c) <= 160) & matches(c, NARRATION))
+    short = (utf16_length(c) <= 24) & matches(c, ACKNOWLEDGED)
+    return (c == "") | short | (~matches(c, OUTCOME) & (utf16_length(c) <= 160) & matches(c, NARRATION))
 
 
 def low_value(c: Column) -> Column:
     """User text without a request of its own."""
-    return (c == "") | ((F.length(c) <= 24) & matches(c, IDLE_REQUEST)) | matches(c, IMPATIENT)
+    return (c == "") | ((utf16_length(c) <= 24) & matches(c, IDLE_REQUEST)) | matches(c, IMPATIENT)
 
 
 def continuation(c: Column) -> Column:
@@ -128,12 +191,12 @@ def _points(c: Column, table) -> Column:
 
 def milestone_score(c: Column) -> Column:
     """How much an assistant text says about the state of the work."""
-    return F.when(process_only(c), -1000).otherwise(_points(c, MILESTONES) + F.when(F.length(c) >= 90, 10).otherwise(0))
+    return F.when(process_only(c), -1000).otherwise(_points(c, MILESTONES) + F.when(utf16_length(c) >= 90, 10).otherwise(0))
 
 
 def evidence_signal(c: Column, is_error: Column) -> Column:
     """How much a tool result says about the state of the work."""
-    return F.when(c == "", 0).otherwise(F.when(is_error, 100).otherwise(0) + _points(c, EVIDENCE) + F.when(F.length(c) >= 120, 10).otherwise(0))
+    return F.when(c == "", 0).otherwise(F.when(is_error, 100).otherwise(0) + _points(c, EVIDENCE) + F.when(utf16_length(c) >= 120, 10).otherwise(0))
 
 
 def tool_weight(name: Column, is_error: Column) -> Column:

@@ -100,14 +100,30 @@ def looks_like_code(x: Column) -> Column:
     return x.rlike(f"(^|\\n)[{WS}]*(```|~~~)")
 
 
+def first_units(x: Column, n: Column) -> Column:
+    """The first ``n`` UTF-16 units; a character that does not fit whole is left out."""
+    units = F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.octet_length(F.encode(F.substring(x, i, F.lit(1)), "UTF-16BE")) / 2)
+    fitting = F.aggregate(units, F.struct(F.lit(0.0).alias("used"), F.lit(0).alias("n")), lambda a, u: F.struct((a["used"] + u).alias("used"), F.when(a["used"] + u <= n, a["n"] + 1).otherwise(a["n"]).alias("n")))["n"]
+    return F.when(F.length(x) == utf16_length(x), F.left(x, n)).otherwise(F.left(x, fitting))
+
+
+def last_units(x: Column, n: Column) -> Column:
+    """The last ``n`` UTF-16 units; a character that does not fit whole is left out."""
+    return F.when(F.length(x) == utf16_length(x), F.right(x, n)).otherwise(F.reverse(first_units(F.reverse(x), n)))
+
+
+#: What stands for the part of a text that is left out.  Fixed value.
+OMITTED = ("\n...[", " chars omitted by result-first prefilter]...\n")
+
+
 def bounded(x: Column, most: int) -> Column:
-    """Head and tail of a long text with the number of characters left out."""
+    """Head and tail of a long text with the number of UTF-16 units left out."""
     clean = trim_ws(x)
     head = max(400, int(most * 0.38))
     tail = max(400, most - head - 100)
-    gone = (F.length(clean) - F.lit(head + tail)).cast("string")
-    cut = F.concat(F.left(clean, F.lit(head)), F.lit("\n...["), gone, F.lit(" chars omitted by result-first prefilter]...\n"), F.right(clean, F.lit(tail)))
-    return F.when(F.length(clean) <= most, clean).otherwise(cut)
+    gone = (utf16_length(clean) - F.lit(head + tail)).cast("string")
+    cut = F.concat(first_units(clean, F.lit(head)), F.lit(OMITTED[0]), gone, F.lit(OMITTED[1]), last_units(clean, F.lit(tail)))
+    return F.when(utf16_length(clean) <= most, clean).otherwise(cut)
 
 
 def pieces(x: Column, size: int) -> Column:

@@ -17,26 +17,42 @@ from loomline.operators.ordering import previous_value
 TOOL_POLICIES = ("none", "errors", "all")
 
 
-def project(entries: DataFrame, tool_text: str = "all", effective: bool = True) -> DataFrame:
+def project(entries: DataFrame, tool_text: str = "all", effective: bool = True, shell_text: str | None = None) -> DataFrame:
     """One row per visible text of each entry: ``source_id``, ``entry_id``, ``line_index``, ``part``, ``seg_kind``, ``text``, ``fidelity``, ``incomplete``.
 
     User and assistant texts are verbatim (an assistant text cut off is
-    incomplete), tool and shell results as the policy says, summaries derived
-    checkpoints (compaction summaries only in the effective view).  Empty texts
-    give no row; roles are taken as written.
+    incomplete); tool results as ``tool_text`` says and shell executions, command
+    and output as one text, as ``shell_text`` says (``tool_text`` where it is not
+    given); summaries are derived checkpoints (of compactions only in the
+    effective view), as are custom messages unless they are the hidden text of a
+    cleaning.  Custom messages need the columns ``content`` (JSON) and
+    ``display``; a table without them has none.  Empty texts give no row; roles
+    are taken as written.
     """
-    if tool_text not in TOOL_POLICIES:
-        raise ValueError(f"tool_text must be one of {TOOL_POLICIES}")
+    policies = tool_text, shell_text or tool_text
+    if not set(policies) <= set(TOOL_POLICIES):
+        raise ValueError(f"tool_text and shell_text must be of {TOOL_POLICIES}")
     m = M.with_message(M.distinct_entries(entries))
-    shown = {"none": F.lit(False), "errors": M.is_failure(), "all": F.lit(True)}[tool_text]
-    role = F.col("role")
+    tools, shells = ({"none": F.lit(False), "errors": failed, "all": F.lit(True)}[p] for p, failed in zip(policies, (M.is_failure(), M.shell_failed()), strict=True))
+    role, kind_of, is_message = F.col("role"), F.col("entry_type"), F.col("entry_type") == "message"
+    custom = F.lit(False)
+    if {"content", "display"} <= set(entries.columns):
+        hidden = F.coalesce((F.col("custom_type") == "cleanup_text") & ~F.col("display"), F.lit(False))
+        custom = (kind_of == "custom_message") & ~hidden
     kind = (
-        F.when((F.col("entry_type") == "message") & role.isin("user", "assistant"), role)
-        .when((F.col("entry_type") == "message") & role.isin("toolResult", "bashExecution") & shown, "tool")
-        .when((F.col("entry_type") == "message") & role.isin("custom", "branchSummary", "compactionSummary"), "checkpoint")
-        .when((F.col("entry_type") == "branch_summary") | ((F.col("entry_type") == "compaction") & F.lit(effective)), "checkpoint")
+        F.when(is_message & role.isin("user", "assistant"), role)
+        .when(is_message & (((role == "toolResult") & tools) | ((role == "bashExecution") & shells)), "tool")
+        .when((is_message & role.isin("custom", "branchSummary", "compactionSummary")) | custom, "checkpoint")
+        .when((kind_of == "branch_summary") | ((kind_of == "compaction") & F.lit(effective)), "checkpoint")
     )
-    said = F.when(F.col("entry_type") == "message", F.col("texts")).otherwise(F.array("summary"))
+    said = (
+        F.when(is_message & (role == "bashExecution"), F.array(M.shell_text()))
+        .when(is_message & role.isin("branchSummary", "compactionSummary"), F.array(F.coalesce("own_summary", F.array_join("texts", "\n"))))
+        .when(is_message, F.col("texts"))
+    )
+    if {"content", "display"} <= set(entries.columns):
+        said = said.when(kind_of == "custom_message", M.custom_text(F.col("content"), F.col("display")))
+    said = said.otherwise(F.array("summary"))
     rows = m.withColumn("seg_kind", kind).filter("seg_kind is not null").select(
         "source_id", "entry_id", "line_index", "seg_kind", "stop_reason", F.posexplode(F.filter(said, lambda x: x != "")).alias("part", "text")
     )
@@ -66,22 +82,6 @@ def first_documents(documents: DataFrame) -> DataFrame:
     return one.join(first, "signature").select("doc_id", "signature", "first_doc_id", "copies")
 
 
-def overlap_length(left, right):
-    """The most last elements of one array that are the first of another, as a column; 0 for none."""
-    most = F.least(F.size(left), F.size(right))
-    fits = F.filter(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), lambda k: (k <= most) & (F.slice(left, F.size(left) - k + 1, k) == F.slice(right, F.lit(1), k)))
-    return F.coalesce(F.array_max(fits), F.lit(0))
-
-
-def nearly_same(a_text, a_key, a_kind, a_source, b_text, b_key, b_kind, b_source):
-    """Boundary duplicates: one kind, two sources, no code, 80 characters or more, one key in the other at 98 % of its length or more."""
-    alike = (a_kind == b_kind) & ~a_source.eqNullSafe(b_source) & ~T.looks_like_code(a_text) & ~T.looks_like_code(b_text)
-    n, m = T.utf16_length(a_key), T.utf16_length(b_key)
-    long_enough = F.least(T.utf16_length(a_text), T.utf16_length(b_text)) >= 80
-    inside = F.when(n <= m, F.contains(b_key, a_key)).otherwise(F.contains(a_key, b_key))
-    return alike & long_enough & (n > 0) & (m > 0) & inside & (F.least(n, m) / F.greatest(n, m) >= 0.98)
-
-
 def pack(blocks: DataFrame, group: str, order: list[str], size: str, most: int = 24_000, between: int = 2) -> DataFrame:
     """Adds ``chunk``, from 1: whole blocks packed greedily in order, at most ``most`` characters with ``between`` per joint.
 

@@ -21,19 +21,19 @@ def sql_pattern(pattern: str) -> str:
 
 
 ENTRIES_SQL = """
-e AS (SELECT source_id, entry_id, any_value(parent_id) AS parent_id, any_value(line_index) AS line_index, any_value(entry_type) AS entry_type,
-             any_value(message) AS message, any_value(summary) AS summary, any_value(first_kept_entry_id) AS first_kept_entry_id
+e AS (SELECT source_id, entry_id, max_by(parent_id, line_index) AS parent_id, max(line_index) AS line_index, max_by(entry_type, line_index) AS entry_type,
+             max_by(struct_pack(v := message), line_index).v AS message, max_by(struct_pack(v := summary), line_index).v AS summary, max_by(struct_pack(v := first_kept_entry_id), line_index).v AS first_kept_entry_id
       FROM session_entries WHERE entry_id IS NOT NULL AND entry_id <> '' GROUP BY source_id, entry_id)
 """
 MESSAGES_SQL = (
     ENTRIES_SQL
     + f""",
 j AS (SELECT *, CASE WHEN json_valid(message) THEN CASE WHEN json_type(message) = 'OBJECT' THEN message END END AS js FROM e),
-k AS (SELECT *, js->>'$.role' AS role, coalesce(js->>'$.toolName', '') AS tool_name, coalesce((js->>'$.isError') = 'true', false) AS is_error,
+k AS (SELECT *, js->>'$.role' AS role, coalesce(js->>'$.toolName', '') AS tool_name, coalesce((js->>'$.isError') = 'true', false) OR coalesce((js->>'$.error') = 'true', false) AS is_error,
         nullif(coalesce(js->>'$.stopReason', js->>'$.stop_reason', js->>'$.message.stopReason'), '') AS stop_reason, js->>'$.errorMessage' AS error_message,
         CASE json_type(js, '$.content') WHEN 'ARRAY' THEN json_extract(js, '$.content[*]') ELSE [] END AS blocks,
         CASE WHEN json_type(js, '$.content') = 'VARCHAR' THEN [js->>'$.content'] ELSE [] END AS bare FROM j),
-t AS (SELECT *, list_filter(list_concat(bare, list_transform(list_filter(blocks, lambda b: (b->>'$.type') = 'text'), lambda b: coalesce(b->>'$.text', ''))), lambda x: x <> '') AS texts,
+t AS (SELECT *, list_filter(list_concat(bare, list_transform(blocks, lambda b: CASE WHEN json_type(b) = 'VARCHAR' THEN b->>'$' WHEN (b->>'$.type') = 'text' THEN b->>'$.text' END)), lambda x: x <> '') AS texts,
         len(list_filter(blocks, lambda b: (b->>'$.type') IN ('toolCall', 'tool_call'))) > 0 AS calls FROM k),
 m AS (SELECT *, regexp_replace(array_to_string(texts, chr(10)), '^[{WS}]+|[{WS}]+$', '', 'g') AS text FROM t)
 """
@@ -69,6 +69,7 @@ def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 C = "c"
+SZ = "(length(c) + len(regexp_extract_all(c, '[\\x{10000}-\\x{10FFFF}]')))"
 POINTS = " + ".join(f"CASE WHEN {hit(C, p)} THEN {n} ELSE 0 END" for n, p in M.MILESTONES)
 SIGNALS = " + ".join(f"CASE WHEN {hit(C, p)} THEN {n} ELSE 0 END" for n, p in M.EVIDENCE)
 WEIGHTS = " ".join(f"WHEN regexp_matches(n, '{p}') THEN {w}" for w, p in M.TOOL_WEIGHTS)
@@ -77,11 +78,11 @@ WEIGHTS = " ".join(f"WHEN regexp_matches(n, '{p}') THEN {w}" for w, p in M.TOOL_
 @query(
     f"""WITH {MESSAGES_SQL},
 c AS (SELECT *, {compact_sql('text')} AS c, lower(regexp_replace(tool_name, '^[{WS}]+|[{WS}]+$', '', 'g')) AS n FROM m WHERE js IS NOT NULL),
-f AS (SELECT *, c = '' OR (length(c) <= 24 AND {hit(C, M.ACKNOWLEDGED)}) OR (NOT {hit(C, M.OUTCOME)} AND length(c) <= 160 AND {hit(C, M.NARRATION)}) AS process_only,
-  c = '' OR (length(c) <= 24 AND {hit(C, M.IDLE_REQUEST)}) OR {hit(C, M.IMPATIENT)} AS low_value FROM c)
+f AS (SELECT *, c = '' OR ({SZ} <= 24 AND {hit(C, M.ACKNOWLEDGED)}) OR (NOT {hit(C, M.OUTCOME)} AND {SZ} <= 160 AND {hit(C, M.NARRATION)}) AS process_only,
+  c = '' OR ({SZ} <= 24 AND {hit(C, M.IDLE_REQUEST)}) OR {hit(C, M.IMPATIENT)} AS low_value FROM c)
 SELECT source_id, entry_id, process_only, low_value, c <> '' AND (low_value OR {hit(C, M.CONTINUES)}) AS continuation,
-  CASE WHEN process_only THEN -1000 ELSE {POINTS} + CASE WHEN length(c) >= 90 THEN 10 ELSE 0 END END AS milestone,
-  CASE WHEN c = '' THEN 0 ELSE CASE WHEN is_error THEN 100 ELSE 0 END + {SIGNALS} + CASE WHEN length(c) >= 120 THEN 10 ELSE 0 END END AS evidence,
+  CASE WHEN process_only THEN -1000 ELSE {POINTS} + CASE WHEN {SZ} >= 90 THEN 10 ELSE 0 END END AS milestone,
+  CASE WHEN c = '' THEN 0 ELSE CASE WHEN is_error THEN 100 ELSE 0 END + {SIGNALS} + CASE WHEN {SZ} >= 120 THEN 10 ELSE 0 END END AS evidence,
   CASE WHEN is_error OR n = '' THEN 0 WHEN regexp_matches(n, '{M.READ_TOOLS}') THEN -1000 {WEIGHTS} ELSE 0 END AS weight FROM f"""
 )
 def message_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +113,12 @@ def turn_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {MESSAGES_SQL},
 s AS (SELECT *, CASE WHEN entry_type = 'message' AND role IN ('user', 'assistant') THEN role WHEN entry_type = 'message' AND role IN ('toolResult', 'bashExecution') THEN 'tool'
   WHEN entry_type = 'message' AND role IN ('custom', 'branchSummary', 'compactionSummary') THEN 'checkpoint' WHEN entry_type IN ('branch_summary', 'compaction') THEN 'checkpoint' END AS seg_kind FROM m),
-x AS (SELECT *, CASE WHEN entry_type = 'message' THEN texts WHEN summary <> '' THEN [summary] ELSE [] END AS said FROM s WHERE seg_kind IS NOT NULL)
+y AS (SELECT *, CASE WHEN json_type(js, '$.command') = 'VARCHAR' THEN js->>'$.command' ELSE '' END AS command,
+  CASE WHEN json_type(js, '$.output') = 'VARCHAR' THEN js->>'$.output' ELSE array_to_string(texts, chr(10)) END AS output FROM s),
+x AS (SELECT *, CASE WHEN entry_type = 'message' THEN CASE WHEN role = 'bashExecution'
+    THEN list_filter([CASE WHEN command = '' THEN output WHEN output = '' THEN '$ ' || command ELSE '$ ' || command || chr(10) || output END], lambda x: x <> '')
+    WHEN role IN ('branchSummary', 'compactionSummary') THEN list_filter([CASE WHEN json_type(js, '$.summary') = 'VARCHAR' THEN js->>'$.summary' ELSE array_to_string(texts, chr(10)) END], lambda x: x <> '')
+    ELSE texts END WHEN summary <> '' THEN [summary] ELSE [] END AS said FROM y WHERE seg_kind IS NOT NULL)
 SELECT source_id, entry_id, line_index, part, seg_kind, said[part + 1] AS text, CASE WHEN seg_kind = 'checkpoint' THEN 'derived' ELSE 'verbatim' END AS fidelity,
   coalesce(seg_kind = 'assistant' AND stop_reason IN ('length', 'aborted', 'abort'), false) AS incomplete
 FROM (SELECT *, unnest(range(0, len(said))) AS part FROM x)"""
@@ -235,7 +241,7 @@ HEAD, TAIL = 400, 500
 
 @query(
     f"""WITH c AS (SELECT doc_id, regexp_replace(text, '^[{WS}]+|[{WS}]+$', '', 'g') AS x FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, CASE WHEN length(x) <= 1000 THEN x ELSE left(x, {HEAD}) || chr(10) || '...[' || (length(x) - {HEAD + TAIL}) || ' chars omitted by result-first prefilter]...' || chr(10) || right(x, {TAIL}) END AS shown FROM c"""
+SELECT doc_id, CASE WHEN {size_sql('x')} <= 1000 THEN x ELSE left(x, {HEAD}) || chr(10) || '...[' || ({size_sql('x')} - {HEAD + TAIL}) || ' chars omitted by result-first prefilter]...' || chr(10) || right(x, {TAIL}) END AS shown FROM c"""
 )
 def bounded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Head and tail of every document within 1,000 characters."""
