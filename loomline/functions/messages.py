@@ -206,3 +206,14 @@ def tool_weight(name: Column, is_error: Column) -> Column:
     for points, pattern in TOOL_WEIGHTS:
         weight = weight.when(n.rlike(pattern), points)
     return weight.otherwise(0)
+
+
+#: What an excerpt begins with.  Fixed value.
+EXCERPT_MARK = "[Remnic conversation excerpt (from compaction)]"
+
+
+def excerpt(summary: Column) -> Column:
+    """The first conversation excerpt of a summary: what follows its heading up to the next one; null where there is none or nothing in it."""
+    rest = F.regexp_extract(summary, "(?ims)^##+[ \\t]*Conversation[ \\t]+Excerpt[ \\t]*$(.*)", 1)
+    body = trim_ws(F.regexp_replace(rest, f"(?s)\\n##+[{WS}]+[^#].*", ""))
+    return F.when(body != "", F.concat(F.lit(EXCERPT_MARK + "\n"), body))
