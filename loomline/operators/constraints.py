@@ -11,6 +11,11 @@ from loomline.functions.text import constraint_text
 LEAST_CONTAINED = 8
 
 
+def parts(texts: DataFrame, text: str) -> DataFrame:
+    """Adds ``_part``: every stretch of ``LEAST_CONTAINED`` characters of a text, one row each."""
+    return texts.withColumn("_part", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - LEAST_CONTAINED + 1), lambda i: F.substring(text, i, F.lit(LEAST_CONTAINED))))))
+
+
 def preserved(old: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` and the active hard constraints of ``old`` that it neither retains nor supersedes, with ``inherited``.
 
@@ -19,8 +24,9 @@ def preserved(old: DataFrame, new: DataFrame) -> DataFrame:
     of the same id or the same text up to white space and punctuation.
     Superseded: a constraint with evidence names the old id, equals its text, or
     one text contains the other and both have 8 characters or more.  Equality is
-    joined on keys; only the containment test compares the few superseding texts
-    with the remaining old ones.  Null statements match nothing.
+    joined on keys; a text that contains another contains its first 8
+    characters, so containment is joined on these and then tested.  Null
+    statements match nothing.
     """
     wanted = ["id", "statement", "level", "status", "supersedes", "evidence"]
     rest = old.filter("level = 'hard' and status = 'active'").select(*wanted).dropDuplicates(["id"]).withColumn("_text", constraint_text(F.col("statement")))
@@ -28,6 +34,8 @@ def preserved(old: DataFrame, new: DataFrame) -> DataFrame:
     rest = rest.join(held.select("_id"), F.col("id") == F.col("_id"), "left_anti").join(held.select("_t"), F.col("_text") == F.col("_t"), "left_anti")
     ends = new.filter(F.col("supersedes").isNotNull() & (F.size("evidence") > 0)).select(F.col("supersedes").alias("_s"), constraint_text(F.col("supersedes")).alias("_t"))
     rest = rest.join(ends.select("_s"), F.col("id") == F.col("_s"), "left_anti").join(ends.select("_t"), F.col("_text") == F.col("_t"), "left_anti")
-    enough = F.least(F.length("_text"), F.length("_t")) >= LEAST_CONTAINED
-    rest = rest.join(ends.select("_t"), enough & (F.contains("_text", "_t") | F.contains("_t", "_text")), "left_anti")
+    long_rest, long_ends = rest.filter(F.length("_text") >= LEAST_CONTAINED), ends.filter(F.length("_t") >= LEAST_CONTAINED).select("_t").distinct()
+    met = parts(long_rest, "_text").join(long_ends.withColumn("_part", F.left("_t", F.lit(LEAST_CONTAINED))), "_part").filter(F.contains("_text", "_t")).select("id")
+    met = met.unionByName(parts(long_ends, "_t").join(long_rest.withColumn("_part", F.left("_text", F.lit(LEAST_CONTAINED))), "_part").filter(F.contains("_t", "_text")).select("id"))
+    rest = rest.join(met.distinct(), "id", "left_anti")
     return new.select(*wanted).withColumn("inherited", F.lit(False)).unionByName(rest.select(*wanted).withColumn("inherited", F.lit(True)))

@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from loomline.functions import messages as M
 from loomline.functions import text as T
 from loomline.functions import values as V
-from loomline.operators import capsule, line_archive, ordering, segments, trees
+from loomline.operators import capsule, constraints, line_archive, ordering, records, segments, session_build, trees
 from loomline.queries import query
 from loomline.reference_queries import ENTRIES_SQL, MESSAGES_SQL, size_sql
-from loomline.runtime import read
+from loomline.runtime import read, shared_root
+from loomline.sources import jsonl
 from loomline.sources import sessions as S
 
 WS = T.WS
@@ -380,3 +381,78 @@ SELECT ref, summary, min(position) AS position, max_by(struct_pack(v := value),
 def flags_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A flag per segment, each reference and kind once: first position, last value."""
     return capsule.flags_once(read(spark, sf_dir, "visible_segments").select(F.coalesce("source_id", F.lit("")).alias("ref"), F.col("seg_kind").alias("summary"), F.col("segment_id").alias("position"), F.left("text", F.lit(3)).alias("value")))
+
+
+@query("SELECT 'c' || segment_id AS id FROM visible_segments WHERE segment_id % 10 IN (6, 9)")
+def constraint_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hard constraint per segment and a successor that retains, supersedes or ignores it: those carried over."""
+    n = F.col("segment_id").cast("string")
+    slot, told = F.col("segment_id") % 10, F.concat(F.lit("Statement number "), n, F.lit(" keep"))
+    s = read(spark, sf_dir, "visible_segments").select("segment_id")
+    none, some = F.array().cast("array<string>"), F.array(F.lit("e1"))
+    old = s.select(F.concat(F.lit("c"), n).alias("id"), told.alias("statement"), F.when(slot == 7, "soft").otherwise("hard").alias("level"), F.when(slot == 8, "inactive").otherwise("active").alias("status"), F.lit(None).cast("string").alias("supersedes"), none.alias("evidence"))
+    ends = F.when(slot.isin(2, 6), F.concat(F.lit("c"), n)).when(slot == 3, F.upper(told)).when(slot == 4, F.concat(F.lit("no longer: "), told, F.lit(" at all"))).when(slot == 5, F.concat(F.lit("number "), n, F.lit(" keep")))
+    text = F.when(slot == 1, F.concat(F.lit(" statement NUMBER"), n, F.lit("，keep。"))).otherwise(F.concat(F.lit("new "), n))
+    new = s.select(F.concat(F.when(slot == 0, "c").otherwise("n"), n).alias("id"), text.alias("statement"), F.lit("hard").alias("level"), F.lit("active").alias("status"), ends.alias("supersedes"), F.when(slot == 6, none).otherwise(some).alias("evidence"))
+    return constraints.preserved(old, new).filter("inherited").select("id")
+
+
+@query("SELECT source_id, count(*) FILTER (entry_id <> source_id OR line_index > 0) AS entries, min(line_index) AS first_line, max(line_index) AS last_line FROM (SELECT source_id, entry_id, dense_rank() OVER (PARTITION BY source_id ORDER BY line_index, entry_id) AS line_index FROM (SELECT source_id, entry_id, max(line_index) AS line_index FROM session_entries WHERE entry_type <> 'session' AND entry_id <> '' GROUP BY ALL)) GROUP BY source_id")
+def session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sessions written as files and read back: entries and places of each."""
+    rows = entries(spark, sf_dir).filter("entry_type <> 'session' and source_id is not null")
+    placed = ordering.position_in_group(rows.select("source_id", "entry_id", "parent_id", "entry_type", "line_index"), "source_id", [F.col("line_index"), F.col("entry_id")], "place")
+    body = placed.select("source_id", F.col("place").cast("long").alias("line_index"), F.to_json(F.struct(F.col("entry_type").alias("type"), F.col("entry_id").alias("id"), F.col("parent_id").alias("parentId"))).alias("raw"))
+    head = rows.select("source_id").distinct().select("source_id", F.lit(0).cast("long").alias("line_index"), F.to_json(F.struct(F.lit("session").alias("type"), F.col("source_id").alias("id"), F.lit(3).alias("version"))).alias("raw"))
+    path = f"{shared_root(spark)}/loomline-files-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    jsonl.write_lines(head.unionByName(body), path, mode="overwrite")
+    read_back = jsonl.read_sessions(spark, f"{path}/*/*.txt", exact=True)[1]
+    return read_back.groupBy("source_id").agg(F.count("*").alias("entries"), F.min("line_index").alias("first_line"), F.max("line_index").alias("last_line"))
+
+
+@query()
+def rendered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kept turns of all sessions as texts."""
+    return records.rendered(read(spark, sf_dir, "session_entries"))
+
+
+@query()
+def size_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much smaller each session is as rendered records, its latest summary before them."""
+    e = read(spark, sf_dir, "session_entries")
+    return records.size_stats(records.with_summary(records.rendered(e), e), e)
+
+
+@query(
+    """WITH s AS (SELECT source_id, source_order, segment_id, text FROM visible_segments WHERE source_id IS NOT NULL AND text <> ''),
+t AS (SELECT source_id, string_agg(text, chr(10) || chr(10) ORDER BY segment_id) AS body FROM s GROUP BY source_id)
+SELECT source_id, sha256(body) AS body_hash, CAST(4 AS BIGINT) AS lines, CASE WHEN left(source_id, 1) = '0' THEN 'cleanup_ir not once' WHEN left(source_id, 1) = '1' THEN 'broken chain' END AS fault FROM t"""
+)
+def built_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions built around their segments, some spoiled, and what the check of each finds."""
+    s = read(spark, sf_dir, "visible_segments").filter("source_id is not null and text <> ''").select("source_id", F.col("segment_id").alias("source_order"), "seg_kind", "text", "fidelity")
+    made = session_build.built(session_build.stored_results(s, "policy"), F.struct(F.lit(3).alias("schemaVersion"), F.lit("textual").alias("mode")))
+    first = F.left("source_id", F.lit(1))
+    twice = made.unionByName(made.filter((first == "0") & (F.col("custom_type") == "cleanup_ir")))
+    spoiled = twice.withColumn("parent_id", F.when((first == "1") & (F.col("line_index") == 3), "elsewhere").otherwise(F.col("parent_id")))
+    hashes = made.filter("custom_type = 'cleanup_ir'").select("source_id", F.try_variant_get(F.try_parse_json("raw"), "$.data.outputContentHash", "string").alias("body_hash"))
+    sizes = made.groupBy("source_id").agg(F.count("*").alias("lines"))
+    return hashes.join(sizes, "source_id").join(session_build.build_faults(spoiled), "source_id", "left")
+
+
+@query("SELECT segment_id FROM visible_segments WHERE segment_id % 5 = 0 AND text IS NOT NULL")
+def secret_shaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments, every fifth with a planted false key, that may not be published."""
+    s = read(spark, sf_dir, "visible_segments").select("segment_id", F.when(F.col("segment_id") % 5 == 0, F.concat("text", F.lit(" sk-fakefakefakefake0000"))).otherwise(F.col("text")).alias("text"))
+    return session_build.secret_shaped(s, "text").select("segment_id")
+
+
+@query(
+    """WITH e AS (SELECT source_id, entry_id, any_value(line_index) AS n FROM session_entries WHERE entry_id <> '' GROUP BY ALL)
+SELECT source_id, CAST(sum(CASE WHEN n % 3 <> 2 THEN n ELSE 0 END) AS DOUBLE) AS input, CAST(sum(CASE WHEN n % 3 = 0 THEN 0.5 * n ELSE 0 END) AS DOUBLE) AS cost_total FROM e GROUP BY source_id"""
+)
+def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of planted usage per session; a third of the messages report none or no number."""
+    n = F.col("line_index")
+    told = F.when(n % 3 == 0, F.to_json(F.struct(F.struct(n.alias("input"), F.struct((n * 0.5).alias("total")).alias("cost")).alias("usage")))).when(n % 3 == 1, F.concat(F.lit('{"usage":{"input":'), n.cast("string"), F.lit(',"cost":"none"}}'))).otherwise('{"usage":{"input":"many"}}')
+    return session_build.usage_totals(entries(spark, sf_dir).select("source_id", told.alias("message"))).select("source_id", "input", "cost_total")

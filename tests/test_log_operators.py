@@ -323,11 +323,34 @@ def test_session_files(spark, tmp_path):
     back = sorted(r.value for r in spark.read.text(str(tmp_path / "out")).collect())
     assert back == sorted([lines[1], lines[3]])
     (tmp_path / "bad.jsonl").write_text("\n".join([*lines, "{no"]))
-    with pytest.raises(Exception, match="unreadable line 5"):
+    with pytest.raises(Exception, match="unreadable: line 5"):
         jsonl.read_sessions(spark, str(tmp_path / "bad.jsonl"))[1].collect()
     assert jsonl.read_sessions(spark, str(tmp_path / "bad.jsonl"), strict=False)[1].count() == 2
 
 
+def test_session_files_read_in_blocks(spark, tmp_path):
+    """Lines keep their places where a file is read by several tasks; exact lines, headers that are missing."""
+    (tmp_path / "a.jsonl").write_text('{"type":"session","id":"a"}\n' + "".join('{"type":"message","id":"%d"}\r\n\n' % k for k in range(300)))
+    (tmp_path / "b.jsonl").write_text('{"type":"message","id":"x"}\n')
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 1_000)
+    try:
+        lines = jsonl.read_lines(spark, str(tmp_path / "a.jsonl"), exact=True)
+        assert lines.rdd.getNumPartitions() > 3
+        got = {r.line_index: r.raw for r in lines.collect()}
+        assert got == dict(enumerate((tmp_path / "a.jsonl").read_text().split("\n")[:-1])) or got == dict(enumerate((tmp_path / "a.jsonl").read_bytes().decode().split("\n")[:-1]))
+        _, entries = jsonl.read_sessions(spark, str(tmp_path / "a.jsonl"))
+        assert {(r.entry_id, r.line_index) for r in entries.collect()} == {(str(k), 1 + 2 * k) for k in range(300)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    with pytest.raises(Exception, match="no header"):
+        jsonl.read_sessions(spark, str(tmp_path / "*.jsonl"))[0].collect()
+    with pytest.raises(Exception, match="unreadable"):
+        jsonl.read_sessions(spark, str(tmp_path / "a.jsonl"), exact=True)[1].collect()
+    headers, entries = jsonl.read_sessions(spark, str(tmp_path / "*.jsonl"), strict=False)
+    assert {(r.source_id, r.format_version) for r in headers.collect()} == {("a", 1), ("source-1", 1)} and entries.filter("source_id = 'source-1'").count() == 1
+
+
 def test_stream_of_lines(spark, tmp_path):
     rows = [("s", "a", "message", "2025-01-01 00:00:00"), ("s", "a", "message", "2025-01-02 00:00:00"), ("s", "b", "message", "2025-01-01 00:30:00")]
     df = spark.createDataFrame(rows, "source_id string, entry_id string, entry_type string, t string").select("source_id", "entry_id", "entry_type", F.to_timestamp("t").alias("ingested_at"))
