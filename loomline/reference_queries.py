@@ -212,7 +212,15 @@ def adjacent_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.without_adjacent(read(spark, sf_dir, "visible_segments")).select("segment_id", "repeated")
 
 
-@query()
+COPIES_SQL = CANON_SQL[: CANON_SQL.index("signed AS")].rstrip().rstrip(",")
+COPIES_SQL = COPIES_SQL.replace("SELECT segment_id, source_id, source_order, coalesce(seg_kind, '') AS seg_kind, string_split", "SELECT doc_id AS segment_id, string_split").replace("FROM visible_segments WHERE text IS NOT NULL AND text <> ''", "FROM documents WHERE text IS NOT NULL")
+
+
+@query(
+    f"""WITH RECURSIVE {COPIES_SQL},
+s AS (SELECT segment_id AS doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(canon, '[\\t ]+', ' ', 'g'), '\\n{{2,}}', chr(10), 'g'), '^[{WS}]+|[{WS}]+$', '', 'g')) AS signature FROM canon)
+SELECT doc_id, min(doc_id) OVER w AS first_doc_id, count(*) OVER w AS copies FROM s WINDOW w AS (PARTITION BY signature)"""
+)
 def document_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the first of its copies up to white space."""
     return segments.first_documents(read(spark, sf_dir, "documents")).select("doc_id", "first_doc_id", "copies")
@@ -456,23 +464,6 @@ def session_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.families(read(spark, sf_dir, "sessions"))
 
 
-@query(
-    """WITH s AS (SELECT source_id, entry_type, row_number() OVER (PARTITION BY source_id ORDER BY line_index, entry_id, raw_line_sha256) - 1 AS place
-  FROM (SELECT DISTINCT source_id, entry_type, line_index, entry_id, raw_line_sha256 FROM timeline_records WHERE source_id IS NOT NULL)),
-a AS (SELECT source_id, list(entry_type ORDER BY place) AS x FROM s GROUP BY source_id),
-p AS (SELECT DISTINCT q.source_id AS "left", c.source_id AS "right" FROM sessions c JOIN sessions q ON c.parent_session = q.source_path)
-SELECT "left", "right", CAST(coalesce(list_max(list_filter(range(1, least(len(l.x), len(r.x)) + 1), lambda k: l.x[len(l.x) - k + 1 :] = r.x[1 : k])), 0) AS BIGINT) AS overlap
-FROM p LEFT JOIN a l ON l.source_id = "left" LEFT JOIN a r ON r.source_id = "right" """
-)
-def session_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How far each session begins with what ends its parent session, by entry types of archived lines."""
-    t = read(spark, sf_dir, "timeline_records").filter("source_id is not null").select("source_id", "entry_type", "line_index", "entry_id", "raw_line_sha256").distinct()
-    placed = ordering.position_in_group(t, "source_id", [F.col("line_index").asc_nulls_last(), F.col("entry_id").asc_nulls_last(), F.col("raw_line_sha256").asc_nulls_last()])
-    s = read(spark, sf_dir, "sessions")
-    pairs = s.select(F.col("source_id").alias("right"), "parent_session").join(s.select(F.col("source_id").alias("left"), F.col("source_path").alias("parent_session")), "parent_session")
-    return merge.overlaps(pairs, placed.select(F.col("source_id").alias("source"), (F.col("position") - 1).alias("place"), F.col("entry_type").alias("signature")))
-
-
 @query(
     f"""WITH RECURSIVE {CANON_SQL}, a AS (SELECT source_id, list(signature ORDER BY source_order, segment_id) AS x FROM signed WHERE source_id IS NOT NULL GROUP BY source_id),
 p AS (SELECT DISTINCT q.source_id AS "left", c.source_id AS "right" FROM sessions c JOIN sessions q ON c.parent_session = q.source_path)
@@ -488,15 +479,6 @@ def session_content_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.overlaps(pairs, placed.select(F.col("source_id").alias("source"), (F.col("position") - 1).alias("place"), "signature"))
 
 
-@query()
-def boundary_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near repeats between neighbours when the sessions of one family are read one after the other."""
-    s = read(spark, sf_dir, "sessions").select("source_id", "source_path")
-    of = s.join(merge.families(read(spark, sf_dir, "sessions")), "source_path").select("source_id", "root_path", "generation")
-    rows = read(spark, sf_dir, "visible_segments").join(of, "source_id")
-    return merge.boundary_near(rows, "root_path", ["generation", "source_id", "source_order", "segment_id"])
-
-
 @query(
     """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '{"n":' || doc_id || '}' WHEN 1 THEN '{"n":' || doc_id || '}' WHEN 2 THEN '{"n":{"k":"}"}}' END AS object FROM documents"""
 )

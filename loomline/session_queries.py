@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomline.functions import messages as M
 from loomline.functions import text as T
 from loomline.functions import values as V
-from loomline.operators import capsule, constraints, line_archive, ordering, records, segments, session_build, trees
+from loomline.operators import capsule, constraints, line_archive, merge, ordering, records, segments, session_build, trees
 from loomline.queries import query
 from loomline.reference_queries import ENTRIES_SQL, MESSAGES_SQL, size_sql
 from loomline.runtime import read, shared_root
@@ -456,3 +456,34 @@ def usage_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("line_index")
     told = F.when(n % 3 == 0, F.to_json(F.struct(F.struct(n.alias("input"), F.struct((n * 0.5).alias("total")).alias("cost")).alias("usage")))).when(n % 3 == 1, F.concat(F.lit('{"usage":{"input":'), n.cast("string"), F.lit(',"cost":"none"}}'))).otherwise('{"usage":{"input":"many"}}')
     return session_build.usage_totals(entries(spark, sf_dir).select("source_id", told.alias("message"))).select("source_id", "input", "cost_total")
+
+
+NUMBERED_SQL = "SELECT source_id, row_number() OVER (ORDER BY source_id) AS n FROM sessions"
+
+
+def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions with their number in order of id, as ``n``."""
+    return ordering.global_position(read(spark, sf_dir, "sessions").select("source_id"), [F.col("source_id")], "n").withColumn("n", F.col("n").cast("long"))
+
+
+@query(f"SELECT source_id || '-left' AS \"left\", source_id || '-right' AS \"right\", n % 6 AS overlap FROM ({NUMBERED_SQL})")
+def planted_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sources a session, of eight segments each, the second beginning with the last n % 6 of the first in another spelling of white space."""
+    s = numbered(spark, sf_dir).select("source_id", (F.col("n") % 6).alias("k"), F.explode(F.sequence(F.lit(0), F.lit(7))).alias("i"))
+    left = s.select(F.concat("source_id", F.lit("-left")).alias("source"), "i", F.concat_ws(" ", "source_id", F.lit("line"), F.col("i").cast("string")).alias("text"))
+    again = F.concat_ws("  ", "source_id", F.lit("line"), (8 - F.col("k") + F.col("i")).cast("string"))
+    right = s.select(F.concat("source_id", F.lit("-right")).alias("source"), "i", F.when(F.col("i") < F.col("k"), again).otherwise(F.concat_ws(" ", F.lit("own"), "source_id", F.col("i").cast("string"))).alias("text"))
+    rows = segments.signed(left.unionByName(right).withColumn("seg_kind", F.lit("user"))).select("source", F.col("i").cast("long").alias("place"), "signature")
+    pairs = s.select(F.concat("source_id", F.lit("-left")).alias("left"), F.concat("source_id", F.lit("-right")).alias("right")).distinct()
+    return merge.overlaps(pairs, rows)
+
+
+@query(f"SELECT 2 * n + n % 6 AS segment_id, 2 * n + 1 - n % 6 AS kept_id FROM ({NUMBERED_SQL}) WHERE n % 6 < 2")
+def boundary_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two neighbouring segments a session: a near repeat, longer or shorter, or one kept apart by length, kind, code or a common source."""
+    k, first = F.col("n") % 6, F.repeat(F.col("source_id"), F.lit(3))
+    second = F.when(k == 0, F.concat(first, F.lit("!!"))).when(k == 1, F.expr("left(repeat(source_id, 3), 107)")).when(k == 2, F.expr("left(repeat(source_id, 3), 80)")).when(k == 4, F.concat(first, F.lit("\n```"))).otherwise(first)
+    s = numbered(spark, sf_dir)
+    one = s.select(F.col("source_id").alias("family"), (2 * F.col("n")).alias("segment_id"), F.lit("a").alias("source_id"), F.lit("user").alias("seg_kind"), first.alias("text"))
+    two = s.select(F.col("source_id").alias("family"), (2 * F.col("n") + 1).alias("segment_id"), F.when(k == 5, "a").otherwise("b").alias("source_id"), F.when(k == 3, "tool").otherwise("user").alias("seg_kind"), second.alias("text"))
+    return merge.boundary_near(one.unionByName(two), "family", ["segment_id"])
