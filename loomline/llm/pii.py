@@ -240,7 +240,8 @@ def names(text: str, known: Names) -> Iterator[Span]:
     at = 0
     while m := NAME.search(text, at):
         first, comma, initials, particles, last = m.groups()
-        at = m.start(5)
+        at, own = m.start(5), 2 * last.endswith(("'s", "’s"))  # a possessive ending is no part of the name
+        last = last[: len(last) - own]
         if comma:
             if initials or particles:
                 continue
@@ -251,7 +252,7 @@ def names(text: str, known: Names) -> Iterator[Span]:
                 end = tail.end()
         else:
             f, g = known.family_score(last), known.given_score(first)
-            begin, end = m.start(), m.end()
+            begin, end = m.start(), m.end() - own
             if f == 0.0 and "-" in last:
                 continue
         if not f and g < 1.0 or not g:

@@ -61,6 +61,44 @@ def test_pii_spans(text, want):
     assert found(text) == want
 
 
+#: Sentences of frames that played no part in choosing patterns and words.
+HELD_OUT = [
+    ("The minutes were typed up by Mark Fenbrand last night.", [("name", "Mark Fenbrand")]),
+    ("Mark Fenbrand's flight lands at nine", [("name", "Mark Fenbrand")]),
+    ("Both Orla Caldmerrow and Silas Ashloway signed it.", [("name", "Orla Caldmerrow"), ("name", "Silas Ashloway")]),
+    ("Our witness, Jarek J. Fenloway, could not attend", [("name", "Jarek J. Fenloway")]),
+    ("SSN on file is 123-45-6789.", [("id_number", "123-45-6789")]),
+    ("Wire the deposit to DE89 3704 0044 0532 0130 00 by Friday", [("id_number", "DE89 3704 0044 0532 0130 00")]),
+    ("He paid with 5500 0000 0000 0004 at the till", [("id_number", "5500 0000 0000 0004")]),
+    ("My new number: (212) 555-0147", [("phone", "(212) 555-0147")]),
+    ("try me on +44 20 7946 0958 after six", [("phone", "+44 20 7946 0958")]),
+    ("Fax machine lives at 030 23125 0140.", [("phone", "030 23125 0140")]),
+    ("Contact: jo.smith@corp.example or the lobby", [("email", "jo.smith@corp.example")]),
+    ("write to <first.last+news@sub.mail.example>, thanks", [("email", "first.last+news@sub.mail.example")]),
+    ("We moved to 221 Baker Street, London NW1 6XE in May", [("address", "221 Baker Street, London NW1 6XE")]),
+    ("The shop at 1600 Elm Avenue, Springfield, 62704 closed", [("address", "1600 Elm Avenue, Springfield, 62704")]),
+    ("Bring it to Gartenweg 7, 10115 Berlin today", [("address", "Gartenweg 7, 10115 Berlin")]),
+    ("passport C01X00T47 was renewed", [("id_number", "C01X00T47")]),
+    ("national insurance number QQ 12 34 56 C on the slip", [("id_number", "QQ 12 34 56 C")]),
+    ("her tax id: 86095742719", [("id_number", "86095742719")]),
+    ("commit 4f5e6d7c8b9a pushed by ci", []),
+    ("version 2.14.7 took 415 ms on port 8080", []),
+    ("order 4111111111111112 shipped in 3 boxes", []),
+    ("ranges 10-20-3000 and 1-2-3 were skipped", []),
+    ("See Section 12 Main Street Design of the report", []),
+    ("trace 123-45-6789-00 ended at 1758880830024", []),
+    ("Mark the ticket, Orla said, before Release Day", []),
+    ("npm i @scope/pkg@1.2.3 && git clone git@host.example:x/y.git", []),
+    ("Deploy Window Monday 0900-1100, build 20250101.12", []),
+]
+
+
+def test_pii_in_other_frames():
+    want = {(t, *x) for t, xs in HELD_OUT for x in xs}
+    got = {(t, *x) for t, _ in HELD_OUT for x in found(t)}
+    assert got == want
+
+
 def test_pii_table(spark):
     schema = "source_id string, entry_id string, entry_type string, message string, summary string, pii_text int"
     rows = [
