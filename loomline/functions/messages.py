@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.text import B0, B1, WS, iso_text, trim_ws, utf16_length
+from loomline.functions.text import B0, B1, WS, iso_text, trim_ws, utf16_length, whole_json
 
 def distinct_entries(entries: DataFrame) -> DataFrame:
     """One row per (source, entry), that of the greatest ``line_index``; rows without id are kept out.
@@ -45,7 +45,7 @@ def with_message(entries: DataFrame) -> DataFrame:
     ``texts`` (text blocks or the string, empty ones left out) and ``text``
     (joined by line ends and trimmed).
     """
-    parsed = entries.withColumn("_v", F.try_parse_json("message"))
+    parsed = entries.withColumn("_v", whole_json("message"))
     parsed = parsed.withColumn("_v", F.when(F.schema_of_variant("_v").startswith("OBJECT"), F.col("_v")))
 
     def get(path: str, kind: str = "string") -> Column:
@@ -86,7 +86,7 @@ def shell_failed() -> Column:
 
 def custom_text(content: Column, display: Column, joined: bool = False) -> Column:
     """Texts of the ``content`` (JSON text) of a custom message; ``joined``: one text of a displayed one, trimmed, empty else."""
-    v = F.try_parse_json(content)
+    v = whole_json(content)
     if not joined:
         return block_texts(as_blocks(v))
     listed = F.filter(as_blocks(F.when(F.schema_of_variant(v).startswith("ARRAY"), v)), lambda b: b["type"] == "text")
@@ -95,7 +95,7 @@ def custom_text(content: Column, display: Column, joined: bool = False) -> Colum
 
 def without_thinking(message: Column) -> Column:
     """The message (JSON text) of an assistant without its thinking blocks; others as they are."""
-    v = F.try_parse_json(message)
+    v = whole_json(message)
     blocks = F.try_variant_get(v, "$.content", "array<variant>")
     is_thinking = lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == "thinking", F.lit(False))
     fields = F.map_filter(F.try_variant_get(v, "$", "map<string,variant>"), lambda k, _: k != "content")

@@ -31,6 +31,18 @@ SECRET_RULES = (
 )
 
 
+def whole_json(x: Column | str) -> Column:
+    """A JSON text as VARIANT; null where it is none from its first to its last character.
+
+    Parsing alone takes what follows a first value for nothing, so the text is
+    parsed as one element before a mark.
+    """
+    mark = "\\u0001"
+    v = F.try_parse_json(F.concat(F.lit("["), F.col(x) if isinstance(x, str) else x, F.lit(f',"{mark}"]')))
+    alone = (F.try_variant_get(v, "$[1]", "string") == "\u0001") & F.try_variant_get(v, "$[2]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(v, "$[0]", "variant"))
+
+
 def trim_ws(x: Column) -> Column:
     """Without white space of any kind at either end."""
     return F.regexp_replace(x, f"^[{WS}]+|[{WS}]+$", "")

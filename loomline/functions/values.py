@@ -16,14 +16,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from loomline.functions.text import SECRET_RULES, WS, first_units, iso_millis, trim_ws, utf16_length
+from loomline.functions.text import SECRET_RULES, WS, first_units, iso_millis, trim_ws, utf16_length, whole_json
 
 TRIM = re.compile(rf"^[{WS}]+|[{WS}]+$")
 
 
 def kind(value: Column) -> Column:
     """``null``, ``boolean``, ``number``, ``string``, ``array`` or ``object`` of a JSON text; null where it is missing or no JSON."""
-    schema = F.schema_of_variant(F.try_parse_json(value))
+    schema = F.schema_of_variant(whole_json(value))
     return (
         F.when(schema == "VOID", "null").when(schema == "BOOLEAN", "boolean").when(schema == "STRING", "string").when(schema.startswith("ARRAY"), "array")
         .when(schema.startswith("OBJECT"), "object").when(schema.isNotNull(), "number")
@@ -32,12 +32,12 @@ def kind(value: Column) -> Column:
 
 def as_string(value: Column) -> Column:
     """The string of a JSON string; null for all else."""
-    return F.when(kind(value) == "string", F.try_variant_get(F.try_parse_json(value), "$", "string"))
+    return F.when(kind(value) == "string", F.try_variant_get(whole_json(value), "$", "string"))
 
 
 def as_number(value: Column) -> Column:
     """The number of a JSON number; null for all else."""
-    return F.when(kind(value) == "number", F.try_variant_get(F.try_parse_json(value), "$", "double"))
+    return F.when(kind(value) == "number", F.try_variant_get(whole_json(value), "$", "double"))
 
 
 # The words for yes and no.
@@ -48,7 +48,7 @@ def loose_bool(value: Column) -> Column:
     """Booleans, 1 and other numbers, words for yes and no; missing and null are false; all else is rejected (null)."""
     word = F.lower(trim_ws(as_string(value)))
     return (
-        F.when(value.isNull() | (kind(value) == "null"), False).when(kind(value) == "boolean", F.try_variant_get(F.try_parse_json(value), "$", "boolean"))
+        F.when(value.isNull() | (kind(value) == "null"), False).when(kind(value) == "boolean", F.try_variant_get(whole_json(value), "$", "boolean"))
         .when(kind(value) == "number", as_number(value) == 1).when(word.isin(*YES), True).when(word.isin(*NO), False)
     )
 
@@ -85,7 +85,7 @@ def any_millis(value: Column) -> Column:
 
 def record_time(raw: Column) -> Column:
     """The time of a line (JSON text) as JSON text: its own ``timestamp``, else that of its message; strings and numbers count."""
-    v = F.try_parse_json(raw)
+    v = whole_json(raw)
 
     def at(path: str) -> Column:
         found = F.try_variant_get(v, path, "variant")

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomline.functions.text import whole_json
+
 SCHEMA = "cache_key string, model string, prompt_version string, name string, input_hash string, value string"
 
 
@@ -33,7 +35,7 @@ def lookup(wanted: DataFrame, table: DataFrame, identity: dict) -> DataFrame:
     """
     key = key_of(identity)
     fits = table.filter((F.col("cache_key") == key) | ((F.col("model") == identity.get("model")) & (F.col("prompt_version") == identity.get("promptVersion"))))
-    fits = fits.filter(F.try_parse_json("value").isNotNull())
+    fits = fits.filter(whole_json("value").isNotNull())
     first = Window.partitionBy("name", "input_hash").orderBy((F.col("cache_key") != key).cast("int"), "cache_key", "value")
     best = fits.withColumn("_n", F.row_number().over(first)).filter("_n = 1").select("name", "input_hash", "value")
     return wanted.join(best, ["name", "input_hash"], "left")

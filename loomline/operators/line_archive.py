@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomline.functions.text import whole_json
 from loomline.functions.values import any_millis, record_time
 from loomline.operators.archive import packed, unpacked
 from loomline.operators.ordering import previous_value
@@ -44,12 +45,12 @@ def archive_id(sources: DataFrame) -> DataFrame:
 
 def timeline(lines: DataFrame) -> DataFrame:
     """One row per line: ``source_id``, ``line_index``, ``entry_type``, ``entry_id``, ``parent_id``, ``ts_text``, ``ts_ms``, ``raw_line_sha256``."""
-    v = F.try_parse_json("raw")
+    v = whole_json("raw")
     get = lambda p: F.when(F.schema_of_variant(F.variant_get(v, p, "variant")) == "STRING", F.try_variant_get(v, p, "string"))
     time = record_time(F.col("raw"))
     return lines.select(
         "source_id", F.col("line_index").cast("long").alias("line_index"), F.coalesce(get("$.type"), F.lit("unknown")).alias("entry_type"), get("$.id").alias("entry_id"), get("$.parentId").alias("parent_id"),
-        F.coalesce(F.try_variant_get(F.try_parse_json(time), "$", "string"), time).alias("ts_text"), any_millis(time).alias("ts_ms"), F.sha2("raw", 256).alias("raw_line_sha256"),
+        F.coalesce(F.try_variant_get(whole_json(time), "$", "string"), time).alias("ts_text"), any_millis(time).alias("ts_ms"), F.sha2("raw", 256).alias("raw_line_sha256"),
     )
 
 

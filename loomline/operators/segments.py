@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, StringType
 
 from loomline.functions import messages as M
 from loomline.functions import text as T
+from loomline.functions.values import units
 from loomline.operators.ordering import previous_value
 
 #: What of tool output is shown: nothing, errors only, or all.
@@ -109,20 +110,25 @@ def pack(blocks: DataFrame, group: str, order: list[str], size: str, most: int =
 
 
 def split_oversized(text: str, most: int = 24_000) -> list[str]:
-    """Labelled parts of a long text, cut at its last line end within the limit unless that loses half of it."""
-    if len(text) <= most:
+    """Labelled parts of a text of more than ``most`` UTF-16 units, cut at its last line end within the limit unless that loses half of it."""
+    if len(text.encode("utf-16-le", "surrogatepass")) <= 2 * most:
         return [text]
     parts = []
-    while len(text) > most:
-        at = text.rfind("\n", 0, most + 1)
-        at = most if at < most // 2 else at
+    while len(text.encode("utf-16-le", "surrogatepass")) > 2 * most:
+        whole = len(units(text, most))
+        at = text.rfind("\n", 0, whole + 1)
+        at = whole if at < whole // 2 else at
         parts.append(text[:at])
         text = text[at:].lstrip("\n")
     parts += [text] if text else []
     return [f"[oversized block part {k}/{len(parts)}]\n{p}" for k, p in enumerate(parts, 1)]
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def oversized_parts(texts: pd.Series) -> pd.Series:
-    """``split_oversized`` over a column at the default limit; null stays null."""
-    return texts.map(lambda t: None if t is None else split_oversized(t))
+def oversized_parts(most: int = 24_000):
+    """``split_oversized`` as a column function; null stays null."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else split_oversized(t, most))
+
+    return run

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.text import SECRET_RULES
+from loomline.functions.text import SECRET_RULES, whole_json
+from loomline.functions.values import any_millis
 
 #: The custom types of a cleaned session, each there exactly once and in this order.
 PARTS = ("cleanup_text", "cleanup_ir", "cleanup_manifest")
@@ -74,7 +75,18 @@ def title(names: F.Column, most: int = 3) -> F.Column:
 
 def usage_totals(entries: DataFrame) -> DataFrame:
     """Per source the sums of the usage that messages report: ``input``, ``output``, ``cache_read``, ``cache_write``, ``total_tokens``, ``cost_total``; what is no number counts for nothing."""
-    v = F.try_parse_json("message")
+    v = whole_json("message")
     number = lambda p: F.sum(F.coalesce(F.when(~F.isnan(F.try_variant_get(v, p, "double")), F.try_variant_get(v, p, "double")), F.lit(0.0)))
     fields = {"input": "input", "output": "output", "cache_read": "cacheRead", "cache_write": "cacheWrite", "total_tokens": "totalTokens", "cost_total": "cost.total"}
     return entries.groupBy("source_id").agg(*(number(f"$.usage.{path}").alias(name) for name, path in fields.items()))
+
+
+def input_hash(sources: DataFrame, group: str) -> DataFrame:
+    """``group``, ``input_hash``: one hash for the inputs of each merge, over its lines ``source_id:sha256`` in order.  A merge has few sources."""
+    line = F.concat_ws(":", "source_id", "sha256")
+    return sources.groupBy(group).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("input_hash"))
+
+
+def session_time(created: F.Column, timestamp: F.Column) -> F.Column:
+    """Milliseconds of a session: of its creation (number or ISO text, as JSON), else of its timestamp, else 0."""
+    return F.coalesce(any_millis(created), any_millis(timestamp), F.lit(0).cast("long"))

@@ -256,8 +256,3 @@ def summary(segments: DataFrame, policy: Policy = ALL_STAY, documents: DataFrame
         F.col("source_id").alias("source_id" if documents is None else "merge"), "input_segments", F.coalesce("n", F.lit(0)).alias("output_segments"), *(removed if documents is not None else []),
         F.coalesce("r", F.lit(0)).alias("redactions"), "raw_chars", left.alias("clean_chars"), share.alias("reduction_pct"),
     )
-
-
-def whole_text(blocks: DataFrame) -> DataFrame:
-    """``source_id``, ``text``: the blocks of each source joined by blank lines; a source's text is one row by nature."""
-    return blocks.groupBy("source_id").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "block"))), lambda b: b["block"]), "\n\n"), F.lit("\n")).alias("text"))

@@ -61,7 +61,7 @@ FROM m WHERE js IS NOT NULL"""
 def message_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Role, stop reason, tool, texts and error state of every readable message."""
     m = M.with_message(M.distinct_entries(read(spark, sf_dir, "session_entries")))
-    readable = F.coalesce(F.schema_of_variant(F.try_parse_json("message")).startswith("OBJECT"), F.lit(False))
+    readable = F.coalesce(F.schema_of_variant(T.whole_json("message")).startswith("OBJECT"), F.lit(False))
     return m.filter(readable).select(
         "source_id", "entry_id", "role", "tool_name", "is_error", "stop_reason", M.has_tool_call().alias("calls"), F.size("texts").cast("long").alias("n_texts"), "text",
         M.is_degenerate().alias("degenerate"), M.is_failure().alias("failed"),
@@ -90,7 +90,7 @@ def message_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = M.with_message(M.distinct_entries(read(spark, sf_dir, "session_entries")))
     m = m.withColumn("c", T.compact_lower(F.col("text")))
     text, err = F.col("c"), F.col("is_error")
-    readable = F.coalesce(F.schema_of_variant(F.try_parse_json("message")).startswith("OBJECT"), F.lit(False))
+    readable = F.coalesce(F.schema_of_variant(T.whole_json("message")).startswith("OBJECT"), F.lit(False))
     return m.filter(readable).select(
         "source_id", "entry_id", M.process_only(text).alias("process_only"), M.low_value(text).alias("low_value"), M.continuation(text).alias("continuation"),
         M.milestone_score(text).alias("milestone"), M.evidence_signal(text, err).alias("evidence"), M.tool_weight(F.col("tool_name"), err).alias("weight"),
@@ -148,7 +148,7 @@ SELECT source_id, path, max(op = 'modified') AS modified FROM o WHERE path IS NO
 def file_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files that each session read or modified; a modified file counts as modified only."""
     calls = "array<struct<type:string,name:string,arguments:struct<path:string>>>"
-    e = M.distinct_entries(read(spark, sf_dir, "session_entries")).select("source_id", F.try_variant_get(F.try_parse_json("message"), "$.content", calls).alias("c"))
+    e = M.distinct_entries(read(spark, sf_dir, "session_entries")).select("source_id", F.try_variant_get(T.whole_json("message"), "$.content", calls).alias("c"))
     op = F.when(F.lower("b.name").rlike("^(write|edit)"), "modified").when(F.lower("b.name") == "read", "read")
     rows = e.select("source_id", F.explode(F.filter("c", lambda b: b["type"].isin("toolCall", "tool_call"))).alias("b")).select("source_id", F.col("b.arguments.path").alias("path"), op.alias("op"))
     return rows.filter("path is not null and op is not null").groupBy("source_id", "path").agg(F.max(F.col("op") == "modified").alias("modified"))

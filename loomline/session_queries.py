@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomline.functions import messages as M
 from loomline.functions import text as T
 from loomline.functions import values as V
-from loomline.operators import capsule, constraints, line_archive, merge, ordering, records, segments, session_build, trees
+from loomline.operators import capsule, constraints, line_archive, merge, ordering, records, responses, segments, session_build, trees
 from loomline.queries import query
 from loomline.reference_queries import ENTRIES_SQL, MESSAGES_SQL, size_sql
 from loomline.runtime import read, shared_root
@@ -87,7 +87,7 @@ SELECT record_id, status, CASE WHEN status = 'ok' THEN coalesce(TRY_CAST(raw_tex
 )
 def header_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every header line against the id expected of it."""
-    own = F.try_variant_get(F.try_parse_json("raw_text"), "$.id", "string")
+    own = F.try_variant_get(T.whole_json("raw_text"), "$.id", "string")
     rows = read(spark, sf_dir, "raw_records").filter("record_kind = 'header'").withColumn("expected", F.when(F.col("record_id") % 2 == 0, own).otherwise("other"))
     status, version = S.header_status(F.col("raw_text"), F.col("expected"))
     return rows.select("record_id", status.alias("status"), version.alias("version"))
@@ -435,7 +435,7 @@ def built_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.left("source_id", F.lit(1))
     twice = made.unionByName(made.filter((first == "0") & (F.col("custom_type") == "cleanup_ir")))
     spoiled = twice.withColumn("parent_id", F.when((first == "1") & (F.col("line_index") == 3), "elsewhere").otherwise(F.col("parent_id")))
-    hashes = made.filter("custom_type = 'cleanup_ir'").select("source_id", F.try_variant_get(F.try_parse_json("raw"), "$.data.outputContentHash", "string").alias("body_hash"))
+    hashes = made.filter("custom_type = 'cleanup_ir'").select("source_id", F.try_variant_get(T.whole_json("raw"), "$.data.outputContentHash", "string").alias("body_hash"))
     sizes = made.groupBy("source_id").agg(F.count("*").alias("lines"))
     return hashes.join(sizes, "source_id").join(session_build.build_faults(spoiled), "source_id", "left")
 
@@ -487,3 +487,64 @@ def boundary_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = s.select(F.col("source_id").alias("family"), (2 * F.col("n")).alias("segment_id"), F.lit("a").alias("source_id"), F.lit("user").alias("seg_kind"), first.alias("text"))
     two = s.select(F.col("source_id").alias("family"), (2 * F.col("n") + 1).alias("segment_id"), F.when(k == 5, "a").otherwise("b").alias("source_id"), F.when(k == 3, "tool").otherwise("user").alias("seg_kind"), second.alias("text"))
     return merge.boundary_near(one.unionByName(two), "family", ["segment_id"])
+
+
+@query(
+    """WITH RECURSIVE r AS (SELECT doc_id, 0 AS k, '' AS part, text AS rest FROM documents WHERE text IS NOT NULL AND len(text) > 300
+  UNION ALL SELECT doc_id, k + 1, left(rest, cut), CASE WHEN len(rest) > 300 THEN ltrim(substr(rest, cut + 1), chr(10)) ELSE '' END
+  FROM (SELECT *, CASE WHEN len(rest) <= 300 THEN len(rest) WHEN near < 150 THEN 300 ELSE near END AS cut FROM (
+    SELECT *, CASE WHEN contains(left(rest, 301), chr(10)) THEN 301 - strpos(reverse(left(rest, 301)), chr(10)) ELSE -1 END AS near FROM r WHERE rest <> ''))),
+p AS (SELECT doc_id, k, part, max(k) OVER (PARTITION BY doc_id) AS many FROM r WHERE k > 0)
+SELECT doc_id, k AS place, '[oversized block part ' || k || '/' || many || ']' || chr(10) || part AS part FROM p
+UNION ALL SELECT doc_id, 1, text FROM documents WHERE text IS NOT NULL AND len(text) <= 300"""
+)
+def oversized_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut at line ends into labelled parts of at most 300 units."""
+    d = read(spark, sf_dir, "documents").filter("text is not null").withColumn("parts", segments.oversized_parts(300)("text"))
+    return d.select("doc_id", F.posexplode("parts").alias("place", "part")).withColumn("place", (F.col("place") + 1).cast("int"))
+
+
+@query(
+    """SELECT segment_id, CASE segment_id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'not stopped' WHEN 2 THEN 'fenced' WHEN 3 THEN 'no JSON' WHEN 4 THEN 'no object' ELSE 'not stopped' END AS fault,
+  CASE WHEN segment_id % 6 = 0 THEN '{"n":' || segment_id || '}' END AS object FROM visible_segments"""
+)
+def strict_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted responses, one kind of fault each."""
+    n, slot = F.col("segment_id").cast("string"), F.col("segment_id") % 6
+    whole = F.concat(F.lit('{"n":'), n, F.lit("}"))
+    text = F.when(slot == 2, F.concat(F.lit(" ```json\n"), whole, F.lit("\n```"))).when(slot == 3, F.concat(whole, F.lit(" done"))).when(slot == 4, F.concat(F.lit("["), n, F.lit("]"))).otherwise(whole)
+    s = read(spark, sf_dir, "visible_segments").select("segment_id", text.alias("text"), F.when(slot == 1, "length").when(slot == 5, None).otherwise("stop").alias("stop_reason"))
+    return responses.strict_objects(s).select("segment_id", "fault", "object")
+
+
+@query(
+    f"""WITH {MESSAGES_SQL}
+SELECT source_id, count(*) AS entries, count(*) FILTER (entry_type = 'message') AS messages, count(*) FILTER (entry_type = 'message' AND role = 'user') AS users, count(*) FILTER (entry_type = 'message' AND role = 'assistant') AS assistants,
+  CAST(coalesce(sum({size_sql("text")}) FILTER (entry_type = 'message'), 0) AS BIGINT) AS chars, min(line_index) AS first_line, max(line_index) AS last_line FROM m GROUP BY source_id"""
+)
+def session_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of totals per session."""
+    m = M.with_message(entries(spark, sf_dir))
+    said = F.col("entry_type") == "message"
+    return m.groupBy("source_id").agg(
+        F.count("*").alias("entries"), F.count_if(said).alias("messages"), F.count_if(said & (F.col("role") == "user")).alias("users"), F.count_if(said & (F.col("role") == "assistant")).alias("assistants"),
+        F.sum(F.when(said, T.utf16_length(F.col("text"))).otherwise(0)).alias("chars"), F.min("line_index").alias("first_line"), F.max("line_index").alias("last_line"),
+    )
+
+
+@query("SELECT coalesce(store_state, '') AS merge, sha256(string_agg(source_id || ':' || sha256(source_path), chr(10) ORDER BY source_id || ':' || sha256(source_path))) AS input_hash FROM sessions GROUP BY ALL")
+def input_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash over the sessions of each state of storage."""
+    s = read(spark, sf_dir, "sessions").select(F.coalesce("store_state", F.lit("")).alias("merge"), "source_id", F.sha2("source_path", 256).alias("sha256"))
+    return session_build.input_hash(s, "merge")
+
+
+@query(
+    """SELECT source_id, coalesce(CASE WHEN regexp_full_match(created_text, '\\d+') THEN CAST(created_text AS BIGINT) ELSE epoch_ms(TRY_CAST(created_text AS TIMESTAMPTZ)) END, created_ms, 0) AS ms FROM sessions"""
+)
+def session_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each session began, by its text as written, else by its number."""
+    s = read(spark, sf_dir, "sessions")
+    written = F.when(F.col("created_text").rlike("^[0-9]+$"), F.col("created_text")).otherwise(F.to_json(F.array("created_text")))
+    plain = F.when(written.startswith("["), F.regexp_replace(written, r"^\[|\]$", "")).otherwise(written)
+    return s.select("source_id", session_build.session_time(F.when(F.col("created_text").isNotNull(), plain), F.col("created_ms").cast("string")).alias("ms"))

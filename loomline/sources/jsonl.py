@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomline.functions.text import whole_json
 from loomline.runtime import Spool
 
 VERSION = 3
@@ -30,7 +31,7 @@ def read_lines(spark: SparkSession, path: str, exact: bool = False) -> DataFrame
 
 def parsed(lines: DataFrame) -> DataFrame:
     """Adds ``entry_type``, ``entry_id``, ``parent_id``, ``ts_text``, ``message``, ``summary``, ``raw_line_sha256``, ``readable``."""
-    v = lines.withColumn("_v", F.try_parse_json("raw"))
+    v = lines.withColumn("_v", whole_json("raw"))
     get = lambda p: F.try_variant_get("_v", p, "string")
     return v.select(
         *lines.columns, get("$.type").alias("entry_type"), get("$.id").alias("entry_id"), get("$.parentId").alias("parent_id"), get("$.timestamp").alias("ts_text"),

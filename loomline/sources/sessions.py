@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from loomline.functions.text import trim_ws
+from loomline.functions.text import trim_ws, whole_json
 
 CURRENT_VERSION = 3
 
@@ -32,7 +32,7 @@ def discovered(known: DataFrame, local: DataFrame) -> DataFrame:
 
 def header_status(raw: Column, expected: Column) -> tuple[Column, Column]:
     """(``ok`` or what is wrong with a header line, its version): unreadable, no session header, another id; version 1 where none is given."""
-    v = F.try_parse_json(raw)
+    v = whole_json(raw)
     is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     status = (
         F.when(v.isNull(), "unreadable").when(~is_object | ~F.coalesce(F.try_variant_get(v, "$.type", "string") == "session", F.lit(False)), "no session header")
@@ -114,7 +114,7 @@ def import_sources(direct: DataFrame, entries: DataFrame) -> DataFrame:
     direct: ``source``, ``import_id``, ``turn``; entries: ``source_id``,
     ``line_index``, ``entry_type``, ``custom_type``, ``data`` (JSON).
     """
-    v = F.try_parse_json("data")
+    v = whole_json("data")
     told = entries.filter("entry_type = 'custom' and custom_type = 'import_source'").select(
         F.try_variant_get(v, "$.source", "string").alias("source"), F.try_variant_get(v, "$.sourceId", "string").alias("import_id"), F.struct(F.lit(1).alias("list"), "source_id", F.col("line_index").cast("long").alias("turn")).alias("o")
     )

@@ -351,6 +351,20 @@ def test_session_files_read_in_blocks(spark, tmp_path):
     assert {(r.source_id, r.format_version) for r in headers.collect()} == {("a", 1), ("source-1", 1)} and entries.filter("source_id = 'source-1'").count() == 1
 
 
+def test_hourly_counts_close_with_the_watermark(spark, tmp_path):
+    rows = [(f"2025-01-0{d} 0{h}:30:00", t) for d, h, t in [(1, 1, "a"), (1, 1, "a"), (1, 2, "b"), (5, 1, "a")]]
+    spark.createDataFrame(rows, "at string, entry_type string").selectExpr("cast(at as timestamp) as ingested_at", "entry_type").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ingested_at timestamp, entry_type string").parquet(str(tmp_path / "in"))
+    ingest.to_table(ingest.hourly(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+    got = {(r.window.start.hour, r.entry_type, r.lines) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, "a", 2), (2, "b", 1)}
+
+
+def test_latest_valid_report(spark):
+    df = spark.createDataFrame([("a", 1, "x", True), ("a", 2, "y", False), ("b", 1, "z", False)], "source_id string, place int, data string, valid boolean")
+    assert [tuple(r) for r in responses.latest_valid(df).collect()] == [("a", 1, "x")]
+
+
 def test_stream_of_lines(spark, tmp_path):
     rows = [("s", "a", "message", "2025-01-01 00:00:00"), ("s", "a", "message", "2025-01-02 00:00:00"), ("s", "b", "message", "2025-01-01 00:30:00")]
     df = spark.createDataFrame(rows, "source_id string, entry_id string, entry_type string, t string").select("source_id", "entry_id", "entry_type", F.to_timestamp("t").alias("ingested_at"))

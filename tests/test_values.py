@@ -62,3 +62,8 @@ def test_message_parts(spark):
 def test_excerpt(spark, cut):
     text = f"# Summary\nold\n## Conversation Excerpt\n[user] hi\n\n[assistant] yes\n{cut}"
     assert over(spark, M.excerpt, text, "no heading", "## conversation excerpt\n \n") == [f"{M.EXCERPT_MARK}\n[user] hi\n\n[assistant] yes", None, None]
+
+
+def test_json_is_whole(spark):
+    texts = ['{"a":1}', ' [1] ', "1", '{"a":1} x', "1,2", "1],[2", '1,"\\u0001"', "", None, "nul"]
+    assert over(spark, lambda x: F.to_json(T.whole_json(x)), *texts) == ['{"a":1}', "[1]", "1", *[None] * 7]
