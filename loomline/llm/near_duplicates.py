@@ -77,7 +77,7 @@ def roots(trees: int) -> np.ndarray:
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The places start, start + 1, ... of every stretch, one stretch after the other."""
     ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts - starts, counts)
+    return np.arange(ends[-1] if len(ends) else 0, dtype=np.int32) - np.repeat((ends - counts - starts).astype(np.int32), counts)
 
 
 class Bags:
@@ -144,20 +144,26 @@ def limits(bags: Bags, logs: np.ndarray, rate: float) -> np.ndarray:
 def step(bags: Bags, limit: np.ndarray, node: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One step from every (node, text): (child, index of what it comes from, place of the token in ``firsts``)."""
     place = ragged(bags.start[text], bags.many[text])
-    origin = np.repeat(np.arange(len(text)), bags.many[text])
-    chosen = np.flatnonzero(scramble(node[origin] ^ bags.firsts[place]) <= limit[place])
+    origin = np.repeat(np.arange(len(text), dtype=np.int32), bags.many[text])
+    chosen = np.flatnonzero(scramble(np.repeat(node, bags.many[text]) ^ bags.firsts[place]) <= limit[place])
     origin, place = origin[chosen], place[chosen]
     return scramble((node[origin] ^ bags.firsts[place]) + MIX), origin, place
 
 
+def first_step(bags: Bags, limit: np.ndarray, trees: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``step``, from the root of every tree for all texts at once: (child, text, place of the token)."""
+    top = roots(trees)
+    tree, place = np.nonzero(scramble(top[:, None] ^ bags.firsts[None, :]) <= limit[None, :])
+    return scramble((top[tree] ^ bags.firsts[place]) + MIX), bags.owner[bags.first][place], place
+
+
 def paths(bags: Bags, shares: Shares, trees: int, rate: float, node_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(node, text) at the end of every path: distinct, in the order of texts."""
     logs = shares.of(bags.firsts)
     limit = limits(bags, logs, rate)
     enough = math.log(max(1.0, node_rows / 2)) - math.log(max(1, shares.texts))  # log of the share of texts at which a path ends
-    text = np.repeat(np.arange(len(bags.many)), trees)
-    node = np.tile(roots(trees), len(bags.many))
-    text, node = text[bags.many[text] > 0], node[bags.many[text] > 0]
+    text = np.repeat(np.flatnonzero(bags.many > 0), trees)
+    node = np.tile(roots(trees), len(text) // trees)
     left = np.zeros(len(text))
     taken = np.empty((len(text), 0), dtype=np.int64)
     done_node, done_text = [], []
@@ -168,6 +174,10 @@ def paths(bags: Bags, shares: Shares, trees: int, rate: float, node_rows: int) -
         node, text, left, taken = node[~over], text[~over], left[~over], taken[~over]
         if not len(node):
             break
+        if not level:
+            node, text, place = first_step(bags, limit, trees)
+            left, taken = logs[place], place[:, None]
+            continue
         child, origin, place = step(bags, limit, node, text)
         fresh = ~(taken[origin] == place[:, None]).any(axis=1)
         node, origin, place = child[fresh], origin[fresh], place[fresh]
@@ -284,16 +294,19 @@ def pair_frame(pairs: np.ndarray) -> pd.DataFrame:
 
 
 def compare_nodes(similarity: Fraction, node_rows: int):
-    """A mapInPandas function over rows sorted by node: the likely pairs of small nodes (``other`` set); rows of large nodes pass through."""
+    """A mapInPandas function over rows sorted by node and size: the likely pairs of small nodes (``other`` set); rows of large nodes pass through."""
 
     def small(rows: pd.DataFrame, begin: np.ndarray, end: np.ndarray) -> pd.DataFrame:
         rep, size = rows["rep"].to_numpy(), rows["size"].to_numpy()
         maps = np.column_stack([rows[m].to_numpy() for m in MAPS]).view(np.uint64)
         out = [np.empty((0, 2), dtype=np.int64)]
         for a, z in zip(begin, end, strict=True):
-            i, j = alike(size[a:z], maps[a:z], size[a:z], maps[a:z], similarity)
-            up = i < j
-            out.append(np.column_stack((rep[a + i[up]], rep[a + j[up]])))
+            for x in range(a, z, BLOCK):  # sizes rise: a block meets itself and what follows, up to the size that can still be similar
+                y = min(x + BLOCK, z)
+                last = a + np.searchsorted(size[a:z], int(size[y - 1]) * similarity.denominator // similarity.numerator, "right")
+                i, j = alike(size[x:y], maps[x:y], size[x:last], maps[x:last], similarity)
+                up = i < j
+                out.append(np.column_stack((rep[x + i[up]], rep[x + j[up]])))
         return pair_frame(np.concatenate(out))
 
     def large(rows: pd.DataFrame) -> pd.DataFrame:
@@ -370,7 +383,7 @@ def likely_pairs(texts: DataFrame, shares: Shares, similarity: Fraction, trees:
     at = texts.mapInPandas(start, AT_NODE)
     found, level = [], 0
     while True:
-        looked = Spool(at.repartition(F.col("place")).drop("place").sortWithinPartitions("node").mapInPandas(compare_nodes(similarity, node_rows), COMPARED), "nodes")
+        looked = Spool(at.repartition(F.col("place")).drop("place").sortWithinPartitions("node", "size").mapInPandas(compare_nodes(similarity, node_rows), COMPARED), "nodes")
         found.append(looked.df.filter("other is not null").select("rep", "other"))
         large = looked.df.filter("other is null")
         if not large.limit(1).count():
