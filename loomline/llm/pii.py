@@ -283,10 +283,10 @@ def find(text: str, known: Names) -> list[Span]:
     return sorted(kept)
 
 
-def redact(text: str, known: Names) -> str:
-    """``text`` with each span replaced by its type, as ``[EMAIL]``; all else stays as it is."""
+def redact(text: str, known: Names, spans: list[Span] | None = None) -> str:
+    """``text`` with each span (as found by ``find``) replaced by its type, as ``[EMAIL]``; all else stays as it is."""
     out, at = [], 0
-    for begin, end, kind, _ in find(text, known):
+    for begin, end, kind, _ in find(text, known) if spans is None else spans:
         out += [text[at:begin], f"[{kind.upper()}]"]
         at = end
     return "".join([*out, text[at:]])
@@ -345,7 +345,8 @@ def redacted(entries: DataFrame, parts: DataFrame) -> DataFrame:
     """
 
     def rows(place: tuple, text: str, known: Names) -> Iterator[tuple]:
-        yield *place, redact(text, known), len(find(text, known))
+        spans = find(text, known)
+        yield *place, redact(text, known, spans), len(spans)
 
     return _over(entries, parts, f"{PLACED}, redacted_text string, replaced long", rows).distinct()
 
