@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomline.functions import messages as M
 from loomline.functions import text as T
 from loomline.functions import values as V
-from loomline.operators import capsule, constraints, line_archive, merge, ordering, records, responses, segments, session_build, trees
+from loomline.operators import capsule, constraints, ledger, line_archive, merge, ordering, records, responses, segments, session_build, trees
 from loomline.queries import query
 from loomline.reference_queries import ENTRIES_SQL, MESSAGES_SQL, size_sql
 from loomline.runtime import read, shared_root
@@ -548,3 +548,110 @@ def session_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     written = F.when(F.col("created_text").rlike("^[0-9]+$"), F.col("created_text")).otherwise(F.to_json(F.array("created_text")))
     plain = F.when(written.startswith("["), F.regexp_replace(written, r"^\[|\]$", "")).otherwise(written)
     return s.select("source_id", session_build.session_time(F.when(F.col("created_text").isNotNull(), plain), F.col("created_ms").cast("string")).alias("ms"))
+
+
+REPEATS_SQL = """f AS (SELECT source_id AS ledger_id, 'f' || (segment_id % 50) AS fact_id, 'd' AS domain, 's' || (segment_id % 3) AS subject, CASE WHEN segment_id % 2 = 0 THEN 'state' ELSE 'fix' END AS category,
+  CASE WHEN segment_id % 5 = 0 THEN 'current' ELSE 'historical' END AS status, CASE WHEN segment_id % 4 = 0 THEN ' SAID ' ELSE 'Said ' END || (segment_id % 40) AS statement FROM visible_segments WHERE source_id IS NOT NULL)"""
+
+
+@query(
+    f"""WITH {REPEATS_SQL}, v AS (
+  SELECT ledger_id, fact_id, 'repeated id' AS violation, count(*) OVER (PARTITION BY ledger_id, fact_id) AS n FROM f
+  UNION ALL SELECT ledger_id, fact_id, 'repeated statement', count(*) OVER (PARTITION BY ledger_id, domain, subject, lower(trim(statement))) FROM f
+  UNION ALL SELECT ledger_id, fact_id, 'two current states', count(*) OVER (PARTITION BY ledger_id, domain, subject) FROM f WHERE category = 'state' AND status = 'current')
+SELECT DISTINCT ledger_id, fact_id, violation FROM v WHERE n > 1"""
+)
+def ledger_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What planted ledgers hold twice that must be there once."""
+    n = F.col("segment_id")
+    part = lambda head, k: F.concat(F.lit(head), (n % k).cast("string"))
+    facts = read(spark, sf_dir, "visible_segments").filter("source_id is not null").select(
+        F.col("source_id").alias("ledger_id"), part("f", 50).alias("fact_id"), F.lit("d").alias("domain"), part("s", 3).alias("subject"), F.when(n % 2 == 0, "state").otherwise("fix").alias("category"),
+        F.when(n % 5 == 0, "current").otherwise("historical").alias("status"), F.concat(F.when(n % 4 == 0, " SAID ").otherwise("Said "), (n % 40).cast("string")).alias("statement"),
+    )
+    return ledger.repeated(facts)
+
+
+PLACED_SQL = "p AS (SELECT source_id AS ledger_id, row_number() OVER (PARTITION BY source_id ORDER BY segment_id) - 1 AS n, count(*) OVER (PARTITION BY source_id) AS many FROM visible_segments WHERE source_id IS NOT NULL)"
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segments of each source by number, from 0: ``ledger_id``, ``n``, ``many``."""
+    s = read(spark, sf_dir, "visible_segments").filter("source_id is not null").select(F.col("source_id").alias("ledger_id"), "segment_id")
+    rows = ordering.position_in_group(s, "ledger_id", [F.col("segment_id")], "n").select("ledger_id", (F.col("n") - 1).alias("n"))
+    return rows.join(rows.groupBy("ledger_id").agg(F.count("*").alias("many")), "ledger_id")
+
+
+@query(
+    f"""WITH {PLACED_SQL}
+SELECT ledger_id, 'f' || n AS fact_id, CASE n % 5 WHEN 0 THEN 'no such target' WHEN 1 THEN 'no such target' ELSE 'wrong target' END AS violation FROM p
+WHERE n % 5 IN (0, 1) OR (n % 5 = 2 AND n >= 4) OR (n % 5 = 3 AND n >= 4)"""
+)
+def ledger_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted supersessions: of the fact itself, of none, of another subject, of a current fact, and sound ones."""
+    rows, n = placed(spark, sf_dir), F.col("n")
+    name = lambda x: F.concat(F.lit("f"), x.cast("string"))
+    facts = rows.select("ledger_id", name(n).alias("fact_id"), F.lit("d").alias("domain"), F.when(n % 5 == 3, "other").otherwise("s").alias("subject"), F.when(n % 5 == 4, "superseded").otherwise("current").alias("status"))
+    target = F.when(n % 5 == 0, name(n)).when(n % 5 == 1, "gone").when(n % 5 == 2, name(n - 3 + 1)).when(n % 5 == 3, name(n - 4)).otherwise(name(n - 5))
+    links = rows.filter("n >= 4 or n % 5 < 2").select("ledger_id", name(n).alias("fact_id"), target.alias("target_id")).filter("fact_id <> 'f4'")
+    return ledger.broken_links(facts, links)
+
+
+@query(f"WITH {PLACED_SQL} SELECT ledger_id, 'f' || n AS fact_id, 'loop' AS violation FROM p WHERE n // 5 % 3 = 0 AND (n // 5 + 1) * 5 <= many")
+def ledger_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted chains of five supersessions, every third chain closed to a loop."""
+    rows, n = placed(spark, sf_dir), F.col("n")
+    name = lambda x: F.concat(F.lit("f"), x.cast("string"))
+    step = F.when(n % 5 < 4, n + 1).when(F.floor(n / 5) % 3 == 0, n - 4)
+    links = rows.select("ledger_id", name(n).alias("fact_id"), step.cast("long").alias("to"), "many").filter("to is not null and to < many").select("ledger_id", "fact_id", name(F.col("to")).alias("target_id"))
+    return ledger.in_loops(links)
+
+
+@query(
+    """WITH w AS (SELECT DISTINCT source_id AS ledger_id, seg_kind AS source_id FROM visible_segments WHERE source_id IS NOT NULL AND seg_kind IS NOT NULL),
+h AS (SELECT source_id AS ledger_id, CASE WHEN segment_id % 9 = 0 THEN 'extra' ELSE seg_kind END AS source_id, count(*) AS n FROM visible_segments WHERE source_id IS NOT NULL AND seg_kind IS NOT NULL AND segment_id % 3 = 0 GROUP BY ALL)
+SELECT ledger_id, source_id, 'missing' AS violation FROM w ANTI JOIN h USING (ledger_id, source_id) UNION ALL SELECT ledger_id, source_id, 'extra' FROM h ANTI JOIN w USING (ledger_id, source_id)
+UNION ALL SELECT ledger_id, source_id, 'repeated' FROM h WHERE n > 1"""
+)
+def ledger_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources that planted ledgers miss, name besides or name twice."""
+    s = read(spark, sf_dir, "visible_segments").filter("source_id is not null and seg_kind is not null")
+    covered = s.filter("segment_id % 3 = 0").select(F.col("source_id").alias("ledger_id"), F.when(F.col("segment_id") % 9 == 0, "extra").otherwise(F.col("seg_kind")).alias("source_id"))
+    return ledger.uncovered(s.select(F.col("source_id").alias("ledger_id"), F.col("seg_kind").alias("source_id")), covered)
+
+
+REFS_SQL = "r AS (SELECT DISTINCT segment_id // 3 AS item_id, 'c' || (segment_id % 20) AS ref FROM visible_segments)"
+
+
+def planted_refs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """References of items to twenty coverage ids, and evidence for half of them."""
+    refs = read(spark, sf_dir, "visible_segments").select(F.floor(F.col("segment_id") / 3).cast("long").alias("item_id"), F.concat(F.lit("c"), (F.col("segment_id") % 20).cast("string")).alias("ref"))
+    evidence = spark.range(0, 30, 2).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("coverage_id"), F.concat(F.lit("EVD-"), F.col("id").cast("string")).alias("evidence_id"))
+    return refs, evidence
+
+
+@query(f"WITH {REFS_SQL} SELECT item_id, CASE WHEN CAST(substr(ref, 2) AS INT) % 2 = 0 THEN 'EVD-' || substr(ref, 2) ELSE ref END AS ref FROM r")
+def evidence_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References with evidence ids in the place of coverage ids, each once."""
+    return ledger.remapped(*planted_refs(spark, sf_dir))
+
+
+@query(
+    f"""WITH {REFS_SQL} SELECT 'used' AS state, NULL AS item_id, 'EVD-' || k AS ref FROM (SELECT DISTINCT CAST(substr(ref, 2) AS INT) AS k FROM r) WHERE k % 2 = 0
+UNION ALL SELECT 'dangling', item_id, ref FROM r WHERE CAST(substr(ref, 2) AS INT) % 2 = 1"""
+)
+def evidence_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence that some item refers to, and references without evidence."""
+    refs, evidence = planted_refs(spark, sf_dir)
+    used, dangling = ledger.referenced(evidence, ledger.remapped(refs, evidence))
+    return used.distinct().select(F.lit("used").alias("state"), F.lit(None).cast("long").alias("item_id"), F.col("evidence_id").alias("ref")).unionByName(dangling.distinct().select(F.lit("dangling").alias("state"), "item_id", "ref"))
+
+
+@query("SELECT segment_id AS item_id FROM visible_segments WHERE segment_id % 5 <> 1 AND segment_id % 5 <> 2")
+def phantom_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted texts without those that are nothing but internal ids of which one is unknown."""
+    n = F.col("segment_id") % 5
+    known, unknown = "DEC-0123456789", "ACT-ffffffffff"
+    text = F.when(n == 0, known).when(n == 1, unknown).when(n == 2, f" {known} {unknown} ").when(n == 3, f"see {unknown}").otherwise("plain")
+    s = read(spark, sf_dir, "visible_segments").select(F.col("segment_id").alias("item_id"), text.alias("text"))
+    return ledger.without_phantoms(s, spark.createDataFrame([(known,)], "id string")).select("item_id")
