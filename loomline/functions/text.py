@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -62,16 +63,29 @@ def utf16_length(x: Column) -> Column:
 SECRET_HINT = "(?i)bearer|basic|eyJ|[spr]k-|key|token|passw|secret|://"
 
 
-def redact_secrets(x: Column) -> tuple[Column, dict[str, Column]]:
-    """The text without secrets, and the hits of each rule, counted on what earlier rules left.
+def applied(name: str, rule: str, replacement: str, before: list[str]) -> Callable[[Column], Column]:
+    """One rule as a step from state to state: the text after it, and its hits beside those of the rules before."""
 
-    Texts without a hint of any rule are looked at once and left as they are.
+    def step(s: Column) -> Column:
+        return F.struct(F.regexp_replace(s["text"], rule, replacement).alias("text"), *(s[c].alias(c) for c in before), F.regexp_count(s["text"], F.lit(rule)).cast("long").alias(name))
+
+    return step
+
+
+def redaction(x: Column) -> Column:
+    """A struct of the ``text`` without secrets and the hits of each rule, counted on what earlier rules left.
+
+    Each rule's result is bound once (as the one element of an array) and handed
+    to the next.  Texts without a hint of any rule are looked at once and left
+    as they are.  Keep the struct as a column before taking its fields, so that
+    it is computed once.
     """
-    counts, whole, hint = {}, x, x.rlike(SECRET_HINT)
-    for name, rule, replacement in SECRET_RULES:
-        counts[name] = F.when(hint, F.regexp_count(x, F.lit(rule)).cast("long")).when(whole.isNotNull(), F.lit(0).cast("long"))
-        x = F.regexp_replace(x, rule, replacement)
-    return F.when(hint, x).otherwise(whole), counts
+    zero = F.lit(0).cast("long")
+    state = F.array(F.struct(x.alias("text")))
+    for k, (name, rule, replacement) in enumerate(SECRET_RULES):
+        state = F.transform(state, applied(name, rule, replacement, [n for n, *_ in SECRET_RULES[:k]]))
+    clean = F.struct(x.alias("text"), *(zero.alias(n) for n, *_ in SECRET_RULES))
+    return F.when(x.rlike(SECRET_HINT), state[0]).when(x.isNotNull(), clean)
 
 
 FENCE = re.compile(rf"[{WS}]*(```+|~~~+)")

@@ -180,8 +180,7 @@ def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments with one planted (false) secret each, redacted, and the hits of every rule."""
     x = F.concat("text", F.expr(PLANT_SQL.replace('\\', '\\\\')))
     s = read(spark, sf_dir, "visible_segments").filter("text is not null").select("segment_id", x.alias("x"))
-    out, counts = T.redact_secrets(F.col("x"))
-    return s.select("segment_id", out.alias("redacted"), *(c.alias(f"{n}_hits") for n, c in counts.items()))
+    return s.withColumn("r", T.redaction(F.col("x"))).select("segment_id", F.col("r.text").alias("redacted"), *(F.col(f"r.{n}").alias(f"{n}_hits") for n, *_ in T.SECRET_RULES))
 
 
 CANON_SQL = f"""
