@@ -655,3 +655,30 @@ def phantom_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(n == 0, known).when(n == 1, unknown).when(n == 2, f" {known} {unknown} ").when(n == 3, f"see {unknown}").otherwise("plain")
     s = read(spark, sf_dir, "visible_segments").select(F.col("segment_id").alias("item_id"), text.alias("text"))
     return ledger.without_phantoms(s, spark.createDataFrame([(known,)], "id string")).select("item_id")
+
+
+@query(f"WITH {PLACED_SQL} SELECT DISTINCT ledger_id AS source_id, 2 AS place, t.sub, 't' || (t.sub - 1) AS message FROM p, (VALUES (1), (2)) t(sub) WHERE many >= 5 AND left(ledger_id, 1) >= '8'")
+def retained_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is put in behind planted summaries: a kept tail of two messages, unless both are there already."""
+    rows = placed(spark, sf_dir).withColumnRenamed("ledger_id", "source_id").filter("many >= 5")
+    message = lambda n: F.concat(F.lit("m"), n.cast("string"))
+    messages = rows.select("source_id", F.col("n").alias("place"), message(F.col("n")).alias("message"))
+    there = F.left("source_id", F.lit(1)) < "8"
+    tails = rows.filter("n < 2").select("source_id", F.col("n").cast("int").alias("idx"), F.when(there, message(F.col("n") + 3)).otherwise(F.concat(F.lit("t"), F.col("n").cast("string"))).alias("message"))
+    summaries = rows.select("source_id").distinct().withColumn("at", F.lit(2))
+    return trees.with_retained_tail(messages, tails, summaries).filter("sub > 0").select("source_id", "place", "sub", "message")
+
+
+@query(
+    f"""WITH {PLACED_SQL}, s AS (SELECT *, many > 1 AND NOT (many > 3 AND left(ledger_id, 1) < '8') AS reuse FROM p)
+SELECT ledger_id AS source_id, n AS source_order, 'p' || n AS text, false AS reused FROM s WHERE NOT reuse OR n > 1
+UNION ALL SELECT ledger_id, n, 's' || n, true FROM s WHERE reuse AND n < 2"""
+)
+def stored_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources with a planted stored result at their second entry, followed by a compaction in some: what their documents hold."""
+    rows, n = placed(spark, sf_dir).withColumnRenamed("ledger_id", "source_id"), F.col("n")
+    kept = '{"schemaVersion":1,"body":"b","outputContentHash":"o","policyHash":"p","segments":[{"kind":"user","text":"s0"},{"kind":"user","text":"s1"}]}'
+    compacted = (n == 3) & (F.left("source_id", F.lit(1)) < "8")
+    branch = rows.select("source_id", n.alias("place"), F.when(n == 1, "custom").when(compacted, "compaction").otherwise("message").alias("entry_type"), F.when(n == 1, "cleanup_ir").alias("custom_type"), F.when(n == 1, kept).alias("data"))
+    said = rows.select("source_id", n.alias("place"), F.lit(0).alias("part"), F.lit("user").alias("seg_kind"), F.concat(F.lit("p"), n.cast("string")).alias("text"), F.lit("verbatim").alias("fidelity"))
+    return S.document_segments(branch, said).select("source_id", "source_order", "text", "reused")
