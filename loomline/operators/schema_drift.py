@@ -105,8 +105,7 @@ def trim(profile: dict, kept: int) -> None:
     for part in PARTS:
         if len(profile[part]) > kept:
             profile["cut"] = True
-            for key in sorted(profile[part], key=lambda x: (profile[part][x], x))[kept:]:
-                del profile[part][key]
+            profile[part] = set(sorted(profile[part], key=lambda x: (mark(x), x))[:kept])
 
 
 #: The sets of a profile: values (of arrays all elements), their shapes, the sizes of arrays and their first elements.
@@ -115,7 +114,7 @@ PARTS = ("values", "shapes", "sizes", "heads")
 
 def new_profile() -> dict:
     """An empty profile of one field."""
-    return {"type": None, **{part: {} for part in PARTS}, "n": 0, "log": 0.0, "cut": False, "long": True}
+    return {"type": None, **{part: set() for part in PARTS}, "n": 0, "log": 0.0, "cut": False, "long": True}
 
 
 def facts(kind: str, value: object) -> Iterator[tuple[str, str]]:
@@ -144,7 +143,7 @@ def observe(profile: dict, kind: str, value: object, kept: int) -> None:
         profile["log"] += math.log10(abs(value) + 1) if math.isfinite(value) else 0.0
         profile["long"] &= isinstance(value, int) and -(2**63) <= value < 2**63
     for part, text in facts(kind, value):
-        profile[part][text if len(text) <= 80 else f"#{mark(text)}"] = mark(text)
+        profile[part].add(text if len(text) <= 80 else f"#{mark(text)}")
         if len(profile[part]) > 2 * kept:
             trim(profile, kept)
 
@@ -265,12 +264,12 @@ def compare(old: dict, new: dict, measure: Callable[[str, str], Measure] | None
 
 def packed(fields: dict) -> bytes:
     """The profiles of a file in few bytes."""
-    return zlib.compress(json.dumps(fields).encode(), 1)
+    return zlib.compress(json.dumps({path: p | {part: sorted(p[part]) for part in PARTS} for path, p in sorted(fields.items())}).encode(), 1)
 
 
 def unpacked(data: bytes) -> dict:
     """The reverse of ``packed``."""
-    return json.loads(zlib.decompress(bytes(data)))
+    return {path: p | {part: set(p[part]) for part in PARTS} for path, p in json.loads(zlib.decompress(bytes(data))).items()}
 
 
 KEY = ["stream_id", "file_seq", "file_name"]
