@@ -269,6 +269,39 @@ def test_constraints(spark):
     assert got == {("9", False), ("8", False), ("7", False), ("1", True), ("3", True)}
 
 
+CONSTRAINT = "id string, statement string, level string, status string, supersedes string, evidence array<string>"
+
+
+def test_constraints_with_common_beginnings_meet_only_by_what_is_rare(spark, monkeypatch):
+    """Each new text holds one old text or is held by one; all begin alike."""
+    n, tested = 300, spark.sparkContext.accumulator(0)
+
+    def counted(whole, part):
+        def run(w, p):
+            tested.add(1)
+            return p in w
+
+        return F.udf(run, "boolean")(whole, part)
+
+    monkeypatch.setattr(constraints.F, "contains", counted)
+    old = [(f"c{k}", f"Statement number {k} is kept", "hard", "active", None, []) for k in range(1000, 1000 + n)]
+    new = [(f"n{k}", f"new {k}", "hard", "active", [f"no longer: statement number {k} is kept", f"number {k} is", None][k % 3], ["e"]) for k in range(1000, 1000 + n)]
+    got = [r.id for r in constraints.preserved(spark.createDataFrame(old, CONSTRAINT), spark.createDataFrame(new, CONSTRAINT)).filter("inherited").collect()]
+    assert sorted(got) == [f"c{k}" for k in range(1000, 1000 + n) if k % 3 == 2]
+    assert tested.value <= 4 * n
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_contained(spark, seed):
+    """Against every pair, with repeats inside texts and lengths about the sizes of stretches."""
+    r = random.Random(seed)
+    wholes = {"".join(r.choices("abé", weights=[8, 2, 1], k=r.choice([8, 9, 16, 17, 31, 64, 90]))) for _ in range(150)} | {"a" * 40, "ab" * 20}
+    parts = {w[i : i + r.choice([8, 9, 15, 16, 17, 32, 33])] for w in wholes for i in (0, 3)} | {"".join(r.choices("ab", k=r.choice([8, 12, 16]))) for _ in range(100)} | {"a" * 33}
+    parts = {p for p in parts if len(p) >= 8}
+    got = [tuple(x) for x in constraints.contained(spark.createDataFrame([(p,) for p in parts], "part string"), spark.createDataFrame([(w,) for w in wholes], "whole string")).collect()]
+    assert sorted(got) == sorted((p, w) for p in parts for w in wholes if p in w)
+
+
 def test_ledgers(spark):
     facts = spark.createDataFrame(
         [("l", "a", "d", "s", "state", "current", "X"), ("l", "b", "d", "s", "state", "current", "Y"), ("l", "c", "d", "s", "note", "superseded", " x "), ("l", "c", "e", "s", "note", "superseded", "z")],
