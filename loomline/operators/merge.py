@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from loomline.functions import text as T
 from loomline.operators.hierarchy import LOCAL_ROWS, hierarchy
 from loomline.operators.segments import signed
+from loomline.runtime import Spool
 
 LEAST_CHARS, LEAST_RATIO = 80, 0.98
 
@@ -32,13 +33,17 @@ def overlaps(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     rows: ``source``, ``place`` (dense, from 0), ``signature``.  Candidates are
     the places of ``right``'s first signature in ``left``; a candidate of length
     k holds if k rows agree at its offset.  All by equi-joins and counts, so
-    that no list of a whole source is made.
+    that no list of a whole source is made.  Rows are written once and joined by
+    sorting: from the plan that made them Spark may take them for few and
+    broadcast them all.
     """
     pairs = pairs.select("left", "right").filter("left is not null and right is not null").distinct()
+    rows = Spool(rows.select("source", "place", "signature"), "places").df
     sizes = rows.groupBy("source").agg(F.count("*").alias("n"))
-    sized = pairs.join(sizes.select(F.col("source").alias("left"), F.col("n").alias("n_left")), "left").join(sizes.select(F.col("source").alias("right"), F.col("n").alias("n_right")), "right")
-    l = rows.select(F.col("source").alias("left"), F.col("place").alias("l"), F.col("signature").alias("s"))  # noqa: E741
-    r = rows.select(F.col("source").alias("right"), F.col("place").alias("r"), F.col("signature").alias("s"))
+    n_left, n_right = (sizes.select(F.col("source").alias(side), F.col("n").alias(f"n_{side}")).hint("merge") for side in ("left", "right"))
+    sized = pairs.join(n_left, "left").join(n_right, "right")
+    l = rows.select(F.col("source").alias("left"), F.col("place").alias("l"), F.col("signature").alias("s")).hint("merge")  # noqa: E741
+    r = rows.select(F.col("source").alias("right"), F.col("place").alias("r"), F.col("signature").alias("s")).hint("merge")
     k = F.col("n_left") - F.col("l")
     starts = sized.join(r.filter("r = 0"), "right").join(l, ["left", "s"]).filter(k <= F.col("n_right")).select("left", "right", "n_left", k.alias("k"))
     met = starts.join(r, "right").filter("r < k").withColumn("l", F.col("n_left") - F.col("k") + F.col("r")).join(l, ["left", "l", "s"])

@@ -143,6 +143,16 @@ def test_overlaps(spark):
     assert got == {("l", "r"): 4, ("l", "n"): 0, ("n", "n"): 2, ("l", "gone"): 0}
 
 
+def test_overlaps_broadcast_no_rows(spark):
+    """Rows made by splitting a short table count as short in the plan, however many they are."""
+    few = spark.range(20).select(F.concat(F.lit("s"), "id").alias("source"))
+    rows = few.select("source", F.explode(F.sequence(F.lit(0), F.lit(99))).alias("place")).withColumn("signature", F.concat_ws(":", "source", F.col("place") % 10))
+    got = merge.overlaps(few.select(F.col("source").alias("left"), F.col("source").alias("right")), rows)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and "Generate" not in plan
+    assert {(r.left, r.right): r.overlap for r in got.collect()} == {(f"s{k}", f"s{k}"): 100 for k in range(20)}
+
+
 def test_session_overlaps_compare_content(spark, tmp_path):
     from loomline.reference_queries import session_content_overlaps
 
