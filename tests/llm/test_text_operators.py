@@ -177,6 +177,28 @@ def test_inferred_links_join_conversations(spark):
     assert [r.entry_id for r in conversations.kept(df, least=0.3).orderBy("turn_no").collect()] == ["1", "2", "4", "5"]
 
 
+@pytest.mark.parametrize("local_rows", [1000, 0])
+def test_named_links_need_no_scores(spark, monkeypatch, local_rows):
+    """Links that only names can make are followed without features or scores; where scores decide they are made."""
+    df = spark.createDataFrame(talk_rows(), TALK)
+    rows = conversations.coded(df).toPandas().assign(source_id=lambda x: x["source_id"].fillna(""))
+    last = conversations.latest(rows)
+    parent, score = conversations.best_links(last)
+    assert [p if s >= conversations.NAMED else -1 for p, s in zip(parent, score, strict=True)] == conversations.named_links(last).tolist()
+    assert conversations.MOST_INFERRED == conversations.link_score(0, conversations.MENTIONS, 1.0) < conversations.NAMED == conversations.link_score(None, 0, 0.0, named=True)
+
+    def no_score(*_):
+        raise AssertionError("a link is scored")
+
+    assert "mentions" in conversations.kept(df, least=0.3)._jdf.queryExecution().analyzed().toString()
+    for name in ("best_links", "chosen_large"):
+        monkeypatch.setattr(conversations, name, no_score)
+    assert len(conversations.solve(rows.drop(columns=["mentions", "words"]), conversations.NAMED)) == 2
+    got = conversations.kept(df, local_rows=local_rows)
+    assert "mentions" not in got._jdf.queryExecution().analyzed().toString()
+    assert {tuple(r) for r in got.collect()} == {("a", "r", 1, "1"), ("a", "r", 2, "4")}
+
+
 def test_likely_parents(spark):
     got = {r.entry_id: (r.likely_parent_id, r.score) for r in conversations.likely_parents(spark.createDataFrame(talk_rows(), TALK)).collect()}
     assert got == {"c1": ("b3", conversations.link_score(8000, 0, 0.0))}
